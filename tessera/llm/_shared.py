@@ -6,6 +6,7 @@ costs a re-read and no recomputation of what was written.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,9 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
+    released(spark)
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now; it acts on the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a work table of ``written`` that no later result reads."""
     spark = df.sparkSession
