@@ -12,6 +12,7 @@ from tessera.llm.decontamination import contaminated_windows
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_sequences
 from tessera.llm.substring_dedup import substring_dedup
+from tessera.llm.suffix_tree import suffix_tree_scores
 from tessera.llm.toxicity import fit_chain, score
 
 #: A document is rejected from this probability of toxicity on.
@@ -48,6 +49,10 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"), F.expr("crc32(cast(doc_id as string)) % 7 = 2"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
