@@ -1 +1,302 @@
-"""Queries over claims, evidence and diagnostics."""
+"""Queries over extracted values, claims, evidence, diagnostics, catalogues and differences.
+
+Inputs are derived from the relational tables by the same expressions in both engines; expectations come from the
+columns, not from reading the derived texts again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import extract as X
+from tessera.functions import text as T
+from tessera.operators import catalogue as K
+from tessera.operators import crawl as C
+from tessera.operators import diagnostics as D
+from tessera.operators import evidence as E
+from tessera.operators import incremental as I
+from tessera.plans.base import case, query, table, text
+
+_DAY = "strftime({}, '%-d %B %Y')"
+
+
+def _day(col: str) -> str:
+    return f"date_format({col}, 'd MMMM yyyy')"
+
+
+# Extractors -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, {_DAY.format('o_orderdate')} AS value, 'Deadline: ' || {_DAY.format('o_orderdate')} AS snippet, CAST(o_orderdate AS DATE) AS day FROM orders")
+def deadline_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"'Please note. Deadline: ' || {_day('o_orderdate')} || '. More follows.' AS body")
+    x = X.deadline(F.col("body"))
+    return d.select("o_orderkey", x["value"].alias("value"), x["snippet"].alias("snippet"), X.typed_date(x["deadline"]).alias("day"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_DAY.format('l_shipdate')} AS open_date, {_DAY.format('l_shipdate + INTERVAL 30 DAY')} AS deadline, {case('l_linenumber', 'NULL', text('main round'))} AS round FROM lineitem")
+def date_parse(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{case('l_linenumber', text('Application period: '), text('Main round, from '))} || {_day('l_shipdate')} || ' to ' || {_day('l_shipdate + INTERVAL 30 DAY')} AS body")
+    x = X.application_dates(F.col("body"))
+    return d.select("l_orderkey", "l_linenumber", x["open_date"].alias("open_date"), x["deadline"].alias("deadline"), F.lower(x["round"]).alias("round"))
+
+
+_CODES = ("SGD", "USD", "HKD", "S$", "US$")
+
+
+@query(f"SELECT o_orderkey, {case('o_orderkey', *map(text, ('SGD', 'USD', 'HKD', 'SGD', 'USD')))} AS currency, CAST(floor(o_totalprice) AS BIGINT) AS amount, 'non-local' AS student_group, 'per year' AS billing_period, {case('o_orderkey', text('tuition'), text('miscellaneous_fee'), text('fee'))} AS fee_type FROM orders")
+def money_parse(spark, sf_dir):
+    kind = case("o_orderkey", text("Tuition fees are "), text("Miscellaneous charges are "), text("Fees are "))
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"'Read this first. ' || {kind} || {case('o_orderkey', *map(text, _CODES))} || ' ' || CAST(floor(o_totalprice) AS BIGINT) || '.75 per year for international students. Apply now.' AS body")
+    m = F.get(X.money(F.col("body")), 0)
+    return d.select("o_orderkey", *(m[c].alias(c) for c in ("currency", "amount", "student_group", "billing_period", "fee_type")))
+
+
+@query("SELECT o_orderkey, 'Tuition fees are SGD ' || CAST(floor(o_totalprice) AS BIGINT) || ' per year for international students.' AS snippet FROM orders")
+def fee_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "'Welcome to campus. Tuition fees are SGD ' || CAST(floor(o_totalprice) AS BIGINT) || ' per year for international students. Bye.' AS body")
+    return d.select("o_orderkey", X.fee_snippet(F.col("body")).alias("snippet"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN NULL ELSE CAST(p_size % 9 + 1 AS DOUBLE) + 0.5 END AS ielts, CASE WHEN p_size % 3 = 2 THEN CAST(80 + p_size % 30 AS DOUBLE) END AS toefl FROM part")
+def english_scores(spark, sf_dir):
+    body = case("p_size", "'IELTS minimum ' || (p_size % 9 + 1) || '.5 overall.'", "'A minimum overall score of ' || (p_size % 9 + 1) || '.5 in IELTS.'", "'TOEFL iBT at least ' || (80 + p_size % 30)")
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{body} AS body")
+    return d.select("p_partkey", X.english_score(F.col("body"), "IELTS").alias("ielts"), X.english_score(F.col("body"), "TOEFL iBT").alias("toefl"))
+
+
+@query("SELECT p_partkey, 'Bachelor of ' || p_name AS name, 1 AS names FROM part")
+def programme_names(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "'Our Bachelor of ' || p_name || ' requires Mathematics. The bachelor of ' || p_name || ' needs Art.' AS body")
+    names = X.programme_names(F.col("body"))
+    return d.select("p_partkey", F.get(names, 0).alias("name"), F.size(names).alias("names"))
+
+
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,})', 1), '') AS contact FROM documents WHERE contains(text, '@')")
+def contact_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    return d.select("doc_id", X.contact(F.lit("https://e.edu/contact"), F.lit("Contact"), F.col("text")).alias("contact"))
+
+
+@query("SELECT p_partkey, 'Scholarship number ' || p_size || ' is open.' AS scholarship, 'Visa for ' || p_name || ' holders.' AS visa, 'A ' || p_name || ' degree requires Mathematics at level ' || p_size AS prerequisite, 'Scholarship number ' || p_size || ' is open.' AS sentence FROM part")
+def snippet_sentences(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "'Hello there. Scholarship number ' || p_size || ' is open. Visa for ' || p_name || ' holders. A ' || p_name || ' degree requires Mathematics at level ' || p_size || '. End.' AS body")
+    b = F.col("body")
+    return d.select("p_partkey", X.keyword_sentence(b, "scholarship").alias("scholarship"), X.keyword_sentence(b, "visa").alias("visa"), F.trim(X.prerequisite(b)).alias("prerequisite"), T.sentence_with(b, F.lit("number")).alias("sentence"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate) || '/' || (year(o_orderdate) + 1) AS academic_year FROM orders")
+def academic_year(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{case('o_orderkey', text('Academic year: '), text('For AY '))} || year(o_orderdate) || '-' || (year(o_orderdate) + 1) || ' only' AS body")
+    return d.select("o_orderkey", T.academic_year(F.col("body")).alias("academic_year"))
+
+
+# Claims and evidence --------------------------------------------------------------------------------------------------
+
+_STATUS = case("o_orderkey", "'known'", "'known'", "'unknown'", "'known'", "'needs_manual_check'")
+_CLAIMS = f"(SELECT o_custkey AS scan_id, 'p' || o_orderkey AS claim_path, o_orderpriority AS label, o_orderstatus AS value, {_STATUS} AS status FROM orders)"
+_EVIDENCE = "(SELECT l_suppkey AS supp, o_custkey AS scan_id, 'p' || l_orderkey AS claim_path, 'https://s' || l_suppkey || '.edu' AS source_url, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 <> 0)"
+
+
+def _claims(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey AS scan_id", "'p' || o_orderkey AS claim_path", "o_orderpriority AS label", "o_orderstatus AS value", f"{_STATUS} AS status")
+
+
+def _evidence(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.selectExpr("l_suppkey AS supp", "o_custkey AS scan_id", "'p' || l_orderkey AS claim_path", "'https://s' || l_suppkey || '.edu' AS source_url", "l_linenumber")
+
+
+@query(f"SELECT scan_id, claim_path, value FROM {_CLAIMS} AS c WHERE status = 'known' AND NOT EXISTS (SELECT 1 FROM {_EVIDENCE} AS e WHERE e.scan_id = c.scan_id AND e.claim_path = c.claim_path)")
+def evidence_missing_anti(spark, sf_dir):
+    return E.without_evidence(_claims(spark, sf_dir), _evidence(spark, sf_dir)).select("scan_id", "claim_path", "value")
+
+
+@query(f"SELECT claim_path, l_linenumber FROM {_EVIDENCE} AS e WHERE NOT EXISTS (SELECT 1 FROM {_CLAIMS} AS c WHERE c.status = 'known' AND e.scan_id = c.scan_id AND e.claim_path = c.claim_path)")
+def evidence_dangling_anti(spark, sf_dir):
+    return E.dangling(_evidence(spark, sf_dir), _claims(spark, sf_dir).where("status = 'known'")).select("claim_path", "l_linenumber")
+
+
+@query(f"SELECT c.scan_id, lower(label) AS label, count(DISTINCT lower(trim(value))) AS values, coalesce(array_to_string(list_sort(list_distinct(list(e.source_url) FILTER (e.source_url IS NOT NULL))), ','), '') AS source_urls FROM {_CLAIMS} AS c LEFT JOIN {_EVIDENCE} AS e ON c.scan_id = e.scan_id AND c.claim_path = e.claim_path WHERE status = 'known' GROUP BY 1, 2 HAVING count(DISTINCT lower(trim(value))) > 1")
+def conflicts(spark, sf_dir):
+    return E.conflicts(_claims(spark, sf_dir), _evidence(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) + 1 AS INT) AS latest_year FROM orders WHERE year(o_orderdate) + 1 < 1997")
+def stale_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "year(o_orderdate) || '/' || (year(o_orderdate) + 1) AS academic_year")
+    return E.stale_sources(d, 1997).select("o_orderkey", "latest_year")
+
+
+@query(f"SELECT claim_path, l_linenumber, source_url FROM {_EVIDENCE} WHERE supp IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0)")
+def non_official(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    sources = s.select(F.concat(F.lit("https://s"), "s_suppkey", F.lit(".edu")).alias("source_url"), (F.col("n_regionkey") != 0).alias("is_official"))
+    return E.non_official_support(_evidence(spark, sf_dir), sources).select("claim_path", "l_linenumber", "source_url")
+
+
+@query("SELECT code, field, min(l_linenumber + 10 * l_orderkey) AS first_position FROM (SELECT l_returnflag AS code, l_suppkey % 7 AS field, l_orderkey, l_linenumber FROM lineitem) GROUP BY code, field")
+def warning_dedupe(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS code", "l_suppkey % 7 AS field", "l_linenumber + 10 * l_orderkey AS first_position")
+    return E.first_of_each(d, ["code", "field"], ["first_position"])
+
+
+@query(f"SELECT c_custkey AS scan_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 11 IN (0, 1)) THEN 'low' WHEN c_custkey IN (SELECT scan_id FROM {_EVIDENCE}) THEN 'medium' ELSE 'low' END AS confidence FROM customer")
+def confidence_rollup(spark, sf_dir):
+    code = case("o_orderkey", "'conflict'", "'missing_evidence'", *["'stale_page'"] * 9)
+    warnings = table(spark, sf_dir, "orders").selectExpr("o_custkey AS scan_id", f"{code} AS code")
+    return E.overall_confidence(warnings, _evidence(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scan_id")))
+
+
+_FACT = "CASE doc_id % 7 WHEN 0 THEN '' ELSE substr(text, 3, 12) END"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'unsupported_claim_path' WHEN doc_id % 7 = 0 THEN 'empty_value' WHEN doc_id % 11 = 0 THEN 'missing_snippet' WHEN doc_id % 13 = 0 THEN 'source_not_captured' WHEN doc_id % 4 = 1 THEN 'non_official_source' WHEN (doc_id % 5) / 5.0 < 0.4 THEN 'low_confidence' WHEN doc_id % 6 = 2 THEN 'snippet_not_in_source' WHEN doc_id % 6 = 4 THEN 'value_not_in_snippet' ELSE 'accepted' END AS reason FROM documents")
+def claim_validator_reason(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"CASE WHEN doc_id % 6 = 4 AND doc_id % 7 <> 0 THEN '~~' ELSE {_FACT} END AS value", "CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 6 = 2 THEN '~' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS snippet", "doc_id % 10 <> 3 AS path_ok", "doc_id % 4 <> 1 AS official", "(doc_id % 5) / 5.0D AS confidence")
+    source = F.when(F.col("doc_id") % 13 != 0, F.col("text"))
+    return d.select("doc_id", E.candidate_reason(F.col("snippet"), source, F.col("value"), F.col("confidence"), F.col("path_ok"), F.col("official"), 0.4).alias("reason"))
+
+
+# Capture order and diagnostics ----------------------------------------------------------------------------------------
+
+_EV = "(SELECT user_id AS scan_id, event_type AS field, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page_order, event_id, event_id % 4 = 0 AS route, CASE event_id % 4 WHEN 0 THEN 'extracted' WHEN 1 THEN 'no_match' ELSE 'skipped' END AS status, CASE event_id % 6 WHEN 2 THEN 'context_gate_failed' WHEN 3 THEN 'raw_needs_manual_review' WHEN 4 THEN 'undergraduate_context_gate_failed' ELSE 'none' END AS reason, event_id % 5 = 0 AS blocked, event_id % 7 = 0 AS portal FROM events)"
+
+
+def _attempts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("page_order", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return e.selectExpr("user_id AS scan_id", "event_type AS field", "page_order", "event_id", "event_id % 4 = 0 AS route", "CASE event_id % 4 WHEN 0 THEN 'extracted' WHEN 1 THEN 'no_match' ELSE 'skipped' END AS status", "CASE event_id % 6 WHEN 2 THEN 'context_gate_failed' WHEN 3 THEN 'raw_needs_manual_review' WHEN 4 THEN 'undergraduate_context_gate_failed' ELSE 'none' END AS reason", "event_id % 5 = 0 AS blocked", "event_id % 7 = 0 AS portal")
+
+
+@query(f"SELECT scan_id, field, page_order, CAST(row_number() OVER (PARTITION BY scan_id, field ORDER BY page_order) - 1 AS INT) AS index FROM {_EV}")
+def claim_index(spark, sf_dir):
+    return D.claim_index(_attempts(spark, sf_dir).select("scan_id", "field", "page_order"), ["scan_id", "field"], ["page_order"])
+
+
+@query(f"WITH e AS {_EV}, m AS (SELECT scan_id, field, min(page_order) FILTER (route) AS r, min(page_order) FILTER (NOT route) AS s FROM e GROUP BY 1, 2) SELECT scan_id, field, page_order, route FROM e JOIN m USING (scan_id, field) WHERE route OR (page_order = s AND s < coalesce(r, 999999999))")
+def supplement_first_wins(spark, sf_dir):
+    return D.kept_supplements(_attempts(spark, sf_dir).select("scan_id", "field", "page_order", "route"))
+
+
+@query(f"SELECT field, status, count(*) AS n FROM {_EV} GROUP BY GROUPING SETS ((field, status), (field), (status))")
+def attempt_counts(spark, sf_dir):
+    return D.attempt_counts(_attempts(spark, sf_dir))
+
+
+_NINE = case("event_id", *map(text, ("undergraduate_application_entry", "application_periods", "english_requirements", "accepted_qualifications", "required_documents", "programmes", "fees", "scholarships", "contacts")))
+_NAMES = ("undergraduate_application_entry", "application_periods", "english_requirements", "accepted_qualifications", "required_documents", "programmes", "fees", "scholarships", "contacts")
+_FOUND = ", ".join(f"coalesce(bool_or(known) FILTER (field = '{n}'), false) AS {n}" for n in _NAMES)
+
+
+@query(f"SELECT scan_id, CAST({' + '.join(f'CAST({n} AS INT)' for n in _NAMES)} AS BIGINT) AS found, array_to_string(list_filter([{', '.join(f'CASE WHEN NOT {n} THEN {text(n)} END' for n in _NAMES)}], lambda x: x IS NOT NULL), ',') AS missing, round(({' + '.join(f'CAST({n} AS INT)' for n in _NAMES)}) / 9.0, 3) AS ratio FROM (SELECT scan_id, {_FOUND} FROM (SELECT user_id AS scan_id, {_NINE} AS field, value > 60 AS known FROM events) GROUP BY scan_id)")
+def coverage(spark, sf_dir):
+    return D.coverage(table(spark, sf_dir, "events").selectExpr("user_id AS scan_id", f"{_NINE} AS field", "value > 60 AS known"))
+
+
+@query(f"SELECT scan_id, field, CASE WHEN all_blocked THEN 'blocked_or_challenge' WHEN raw THEN 'raw_needs_manual_review' WHEN nm THEN 'attempted_no_match' WHEN gate THEN 'context_gate_failed' WHEN portal THEN 'portal_or_login_required' ELSE 'manual_check_required' END AS canonical_reason FROM (SELECT scan_id, field, bool_or(status = 'extracted') AS ex, bool_and(blocked) AS all_blocked, bool_or(NOT blocked AND reason = 'raw_needs_manual_review') AS raw, bool_or(NOT blocked AND status = 'no_match') AS nm, bool_or(NOT blocked AND contains(reason, 'gate_failed')) AS gate, bool_or(portal) AS portal FROM (SELECT scan_id * 1000 + page_order // 4 AS scan_id, field, status, reason, blocked, portal FROM {_EV}) GROUP BY 1, 2) WHERE NOT ex")
+def missing_reasons(spark, sf_dir):
+    a = _attempts(spark, sf_dir).withColumn("scan_id", F.col("scan_id") * 1000 + F.floor(F.col("page_order") / 4))
+    return D.missing_reasons(a)
+
+
+@query("SELECT scan_id, page_order, kind, CASE WHEN kind = 'programme' THEN 'programme' WHEN coalesce(max(CASE WHEN kind = 'programme' THEN 1 END) OVER (PARTITION BY scan_id ORDER BY page_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN '/programmes/0/prerequisites' ELSE '/admissions/accepted_qualifications' END AS target FROM (SELECT user_id AS scan_id, event_id AS page_order, CASE WHEN event_id % 50 = 7 THEN 'programme' ELSE 'prerequisite' END AS kind FROM events)")
+def prereq_rehome(spark, sf_dir):
+    return D.rehomed_prerequisites(table(spark, sf_dir, "events").selectExpr("user_id AS scan_id", "event_id AS page_order", "CASE WHEN event_id % 50 = 7 THEN 'programme' ELSE 'prerequisite' END AS kind"))
+
+
+@query("WITH f AS (SELECT c_nationkey AS scan_id, c_mktsegment AS family, count(*) AS n FROM customer WHERE c_custkey % 4 <> 1 OR c_mktsegment < 'B' GROUP BY 1, 2), t AS (SELECT scan_id, arg_max(family, (n, family)) AS family, max(n) AS top, CAST(sum(n) AS BIGINT) AS total, count(*) AS families FROM f GROUP BY 1) SELECT scan_id, family, families, round(top / total, 3) AS family_url_share, total >= 5 AND families >= 2 AND top / total >= 0.3 AS biased FROM t")
+def family_bias_topk(spark, sf_dir):
+    return D.family_bias(table(spark, sf_dir, "customer").where("c_custkey % 4 <> 1 OR c_mktsegment < 'B'").selectExpr("c_nationkey AS scan_id", "c_mktsegment AS family"), share=0.3)
+
+
+@query("SELECT label, count(*) AS urls FROM (SELECT DISTINCT l_partkey, l_returnflag || l_linestatus AS label FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity > 20 UNION ALL SELECT p_partkey, 'candidate_source' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity > 20)) GROUP BY label")
+def source_status_labels(spark, sf_dir):
+    labels = table(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0 AND l_quantity > 20").selectExpr("l_partkey AS url", "l_returnflag || l_linestatus AS label")
+    return D.status_labels(table(spark, sf_dir, "part").selectExpr("p_partkey AS url"), labels)
+
+
+# Catalogues, paging, traversal ----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey, 'Bachelor of ' || p_name AS name, 'Bachelor of ' || p_name || ' (Honours)' AS award, {case('p_size', text('full-time'), text('part-time'))} AS mode, p_size || ' units' AS duration, 'Faculty of ' || p_type AS faculty, 'degree' AS category FROM part")
+def catalog_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", f"'Bachelor of ' || p_name || ' | Bachelor of ' || p_name || ' (Honours) | ' || {case('p_size', text('full-time'), text('part-time'))} || ' | ' || p_size || ' units | | Faculty of ' || p_type AS line")
+    r = K.parsed_row(F.col("line"))
+    return d.select("p_partkey", *(r[c].alias(c) for c in ("name", "award", "mode", "duration", "faculty", "category")))
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (PARTITION BY lower(p_name), p_brand ORDER BY p_partkey) AS INT) AS duplicate_index FROM part")
+def catalog_duplicates(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "upper(p_name) || ' ' AS name", "p_brand AS award", "cast(null as string) AS faculty", "cast(null as string) AS source_url")
+    return K.duplicate_rank(d, ["p_partkey"]).select("p_partkey", "duplicate_index")
+
+
+@query("SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_type), (p_brand), ())")
+def catalog_summary(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupingSets([["p_type"], ["p_brand"], []], "p_type", "p_brand").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey AS scan_id, printf('programme-catalog-%03d', row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, 'row ' || l_partkey)) AS row_id, 'row ' || l_partkey AS name, s_name AS source_title FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) AS s ON l_suppkey = s_suppkey")
+def catalog_csv_projection(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS scan_id", "l_orderkey * 10 + l_linenumber AS position", "'row ' || l_partkey AS name", "l_suppkey AS source_url")
+    sources = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").selectExpr("s_suppkey AS source_url", "s_name AS source_title")
+    return K.csv_rows(rows, sources)
+
+
+@query("SELECT p_partkey AS endpoint, unnest(range(1, 1 + greatest(1, least(CAST(ceil(p_size / 4.0) AS INT), 5)))) AS page, CASE WHEN ceil(p_size / 4.0) > 5 THEN 'budget' ELSE 'complete' END AS stop FROM part".replace("unnest(range(", "CAST(unnest(range(").replace(", 5)))) AS page", ", 5)))) AS INT) AS page"))
+def pagination_walk(spark, sf_dir):
+    return C.pages_walked(table(spark, sf_dir, "part").selectExpr("p_partkey AS endpoint", "p_size AS total", "4 AS size"))
+
+
+_EDGE = "(SELECT o_orderkey % 500 AS a, (o_orderkey * 7 + 3) % 500 AS b FROM orders UNION SELECT o_custkey % 500, o_orderkey % 500 FROM orders WHERE o_orderkey % 9 = 0)"
+
+
+@query(f"WITH RECURSIVE r AS (SELECT 1 AS node, 0 AS depth UNION SELECT CAST(e.b AS INT), depth + 1 FROM r JOIN {_EDGE} AS e ON r.node = e.a WHERE depth < 3) SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM r GROUP BY node")
+def reach_recursive(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    edges = o.selectExpr("o_orderkey % 500 AS a", "(o_orderkey * 7 + 3) % 500 AS b").union(o.where("o_orderkey % 9 = 0").selectExpr("o_custkey % 500", "o_orderkey % 500"))
+    return C.reach(edges, spark.range(1, 2).selectExpr("id AS node"), 3)
+
+
+@query()
+def crawl_best_first(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey % 40 AS scan_id", "'u' || (o_orderkey % 60) AS url", "CAST(o_orderkey % 13 AS INT) AS score", "array('u' || ((o_orderkey * 7 + 1) % 60), 'u' || ((o_orderkey * 11 + 5) % 60)) AS links")
+    captured = E.first_of_each(o, ["scan_id", "url"], ["score", F.col("links").cast("string")])
+    return C.best_first(captured, captured.groupBy("scan_id").agg(F.min("url").alias("seed")), 20, 4)
+
+
+@query("WITH l AS (SELECT l_orderkey AS source, l_linenumber AS position, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE 'text ' || l_partkey END AS line, CASE WHEN l_linenumber % 3 = 2 THEN l_linenumber END AS marker FROM lineitem), f AS (SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER (PARTITION BY source ORDER BY position), 1) AS page FROM l) SELECT source, page, string_agg(line, ' ' ORDER BY position, line) AS body FROM f WHERE line IS NOT NULL GROUP BY source, page")
+def pdf_page_ffill(spark, sf_dir):
+    marker = "CASE WHEN l_linenumber % 2 = 0 THEN 'PDF PAGE ' || l_linenumber ELSE '---PAGE ' || l_linenumber || '---' END"
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS source", "l_linenumber AS position", f"CASE WHEN l_linenumber % 3 = 2 THEN {marker} ELSE 'text ' || l_partkey END AS line")
+    return C.page_text(lines)
+
+
+# Differences, merges, limits ------------------------------------------------------------------------------------------
+
+
+@query("SELECT url FROM pages WHERE page_id % 7 = 0 AND page_id % 5 <> 0")
+def diff_sources(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    now = p.select("url", F.md5("html").alias("content_hash"))
+    old = p.where("page_id % 5 <> 0").select("url", F.when(F.col("page_id") % 7 == 0, F.lit("old")).otherwise(F.md5("html")).alias("content_hash"))
+    return I.changed(now, old, "url", "content_hash")
+
+
+@query("SELECT path FROM (SELECT '/orders/' || o_orderkey || '/value' AS path FROM orders WHERE o_orderkey % 7 = 0) ORDER BY path LIMIT 20")
+def diff_fields(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("'/orders/' || o_orderkey || '/value' AS path", "o_orderstatus AS value", "o_orderkey")
+    old = o.selectExpr("path", "CASE WHEN o_orderkey % 7 = 0 THEN value || '!' ELSE value END AS value")
+    return I.changed(o.select("path", "value"), old, "path", "value").orderBy("path").limit(20)  # the report names the first 20
+
+
+@query("SELECT university, field, seed_order, index, CAST(row_number() OVER (PARTITION BY university, field ORDER BY seed_order, index) - 1 AS INT) AS new_index, '/' || field || '/' || (row_number() OVER (PARTITION BY university, field ORDER BY seed_order, index) - 1) || '/value' AS claim_path FROM (SELECT s_nationkey AS university, 'fees' AS field, s_suppkey % 3 AS seed_order, s_suppkey AS index FROM supplier)")
+def merge_reindex(spark, sf_dir):
+    return I.merged_claims(table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS university", "'fees' AS field", "s_suppkey % 3 AS seed_order", "s_suppkey AS index"))
+
+
+@query("SELECT c_custkey, CAST(coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END, least(c_nationkey * 2, 20)) AS INT) AS max_pages FROM customer")
+def batch_limits(spark, sf_dir):
+    d = table(spark, sf_dir, "customer")
+    return d.select("c_custkey", I.limit(F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")), F.col("c_nationkey") * 2, F.lit(20)).cast("int").alias("max_pages"))

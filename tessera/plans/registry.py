@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import claims, pages
+from tessera.plans import captures, claims, pages, streams
 from tessera.plans.base import QUERIES, SQL, Query
 
-__all__ = ["claims", "entry", "oracle_sql", "pages", "queries"]
+__all__ = ["captures", "claims", "entry", "oracle_sql", "pages", "queries", "streams"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
