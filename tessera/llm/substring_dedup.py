@@ -1,14 +1,14 @@
 """Substring dedup: Rabin-Karp hashes of fixed-length word windows, counted in Spark, merged into removal intervals.
 
 A window of ``size`` words is removed from a document if the same word sequence also starts in a document with a
-smaller id. Two hash rounds keep the counted rows few without losing a window: identical windows have the same
-minimiser (the least hash among their half-size word runs), so only windows whose minimiser stands in two documents can
-repeat, and only their Rabin-Karp hashes (64 + 32 bits) are counted.
+smaller id. Two steps keep the counted rows few without losing a window. Whole copies of a text with a smaller id lose
+all their windows, so only the first of each text is compared further. Identical windows have the same minimiser (the
+least hash among their half-size word runs), so only windows whose minimiser stands in two texts can repeat, and only
+their Rabin-Karp hashes (64 + 32 bits) are counted.
 
 Defined cases: null and empty texts have no words and lose none; texts under ``size`` words lose none; a document that
-repeats itself keeps its windows; rows that share an id are one document for the comparison (neither removes from the
-other) and both are returned; a null id keeps all of its words and removes from nobody; columns other than the id and
-the text are ignored.
+repeats itself keeps its windows; rows that share an id don't remove from each other and are all returned; a null id
+keeps all of its words and removes from nobody; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -49,14 +49,20 @@ def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _minimisers(size: int):
+    """For each text its digest and its windows' minimisers; texts without a window are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_slices(batch):
-                ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                _, owner, least = _windows(Words(data, offsets), size)
+                words = Words(data, offsets)
+                _, owner, least = _windows(words, size)
                 new = np.ones(len(owner), dtype=bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
-                yield pa.record_batch([pa.array(least[new].view(np.int64)), pa.array(ids[owner[new]])], names=["m", "id"])
+                count = np.bincount(owner[new], minlength=rows.num_rows) if len(owner) else np.zeros(rows.num_rows, dtype=np.int64)
+                some, raw = np.flatnonzero(count), data.tobytes()
+                digests = [hashlib.blake2b(b" ".join(raw[offsets[d] : offsets[d + 1]].split()), digest_size=16).digest() for d in some]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count[some]))).astype(np.int32)), pa.array(least[new].view(np.int64)))
+                yield pa.record_batch([rows.column(0).take(pa.array(some)), rows.column(2).take(pa.array(some)), pa.array(digests, pa.binary()), lists], names=["id", "k", "digest", "ms"])
 
     return run
 
@@ -66,7 +72,8 @@ def _shared_windows(size: int):
         for batch in batches:
             for rows, data, offsets in text_slices(batch):
                 ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                lists = rows.column(2)
+                k = rows.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
+                lists = rows.column(3)
                 words = Words(data, offsets)
                 at, owner, least = _windows(words, size)
                 if not len(at):
@@ -79,7 +86,7 @@ def _shared_windows(size: int):
                 h = words.hashes()
                 full = rolling(h, size)[at]
                 second = (rolling(mixed(h ^ _SECOND), size, _SECOND)[at] >> np.uint64(33)).astype(np.int32)
-                yield pa.record_batch([pa.array(full.view(np.int64)), pa.array(second), pa.array(ids[owner]), pa.array((at - words.first[owner]).astype(np.int32))], names=["h", "g", "id", "pos"])
+                yield pa.record_batch([pa.array(full.view(np.int64)), pa.array(second), pa.array(ids[owner]), pa.array(k[owner]), pa.array((at - words.first[owner]).astype(np.int32))], names=["h", "g", "id", "k", "pos"])
 
     return run
 
@@ -93,16 +100,29 @@ def merged(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + size).tolist(), strict=True))
 
 
-def removal_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50) -> DataFrame:
-    """(id, starts array<int>): the windows that a document with a smaller id holds too; no row where there is none."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    least = source.mapInArrow(_minimisers(size), "m long, id long")
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and k, which tells the texts of rows that share an id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.hash(text).alias("k"))
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50) -> DataFrame:
+    """(id, k, whole, starts array<int>): the windows that a document with a smaller id holds too; whole: all of them."""
+    source = _source(docs, id_col, text_col).where("id is not null")
+    texts = written(source.mapInArrow(_minimisers(size), "id long, k int, digest binary, ms array<long>"), "minimisers")
+    copied = texts.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("digest", "lo")
+    marked = texts.select("id", "k", "digest").join(copied, "digest").where("id > lo").select("id", "k").distinct()
+    copies = written(marked, "copies")
+    least = texts.select("id", "k", "ms").join(copies, ["id", "k"], "left_anti").select("id", "k", F.explode("ms").alias("m"))
     seen = least.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("m")
-    per_doc = least.join(seen, "m").groupBy("id").agg(F.collect_set("m").alias("shared"))  # bounded by the document's own length
-    rows = written(source.join(per_doc, "id").select("id", "text", "shared").mapInArrow(_shared_windows(size), "h long, g int, id long, pos int"), "windows")
+    per_doc = least.join(seen, "m").groupBy("id", "k").agg(F.collect_set("m").alias("shared"))  # bounded by the document's own length
+    rows = written(source.join(per_doc, ["id", "k"]).select("id", "text", "k", "shared").mapInArrow(_shared_windows(size), "h long, g int, id long, k int, pos int"), "windows")
     first = rows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "g", "lo")
-    out = written(rows.join(first, ["h", "g"]).where("id > lo").groupBy("id").agg(F.collect_set("pos").alias("starts")), "removals")
-    dropped(rows)
+    found = rows.join(first, ["h", "g"]).where("id > lo").groupBy("id", "k").agg(F.collect_set("pos").alias("starts"))
+    whole = copies.select("id", "k", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
+    out = written(whole.unionByName(found.withColumn("whole", F.lit(False))), "removals")
+    for t in (texts, copies, rows):
+        dropped(t)
     return out
 
 
@@ -111,9 +131,9 @@ def _apply(size: int, with_text: bool):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             cols: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for text, starts in zip(batch.column(at), batch.column(batch.schema.get_field_index("starts")), strict=True):
+            for text, starts, whole in zip(batch.column(at), batch.column(batch.schema.get_field_index("starts")), batch.column(batch.schema.get_field_index("whole")), strict=True):
                 words = (text.as_py() or "").encode().split()
-                spans = merged(np.asarray(starts.as_py(), dtype=np.int64), size) if starts.is_valid else []
+                spans = [(0, len(words))] if whole.as_py() else merged(np.asarray(starts.as_py(), dtype=np.int64), size) if starts.is_valid else []
                 kept, last = [], 0
                 for lo, hi in spans:
                     kept += words[last:lo]
@@ -133,7 +153,7 @@ def _apply(size: int, with_text: bool):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, with_text: bool = False) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_removed, kept_sha256, removed (maximal word intervals) and, with_text, kept."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = source.join(removal_starts(docs, id_col, text_col, size), "id", "left").select("id", "text", "starts")
+    found = removals(docs, id_col, text_col, size)
+    joined = _source(docs, id_col, text_col).join(found, ["id", "k"], "left").select("id", "text", "starts", "whole")
     schema = "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>"
     return joined.mapInArrow(_apply(size, with_text), schema + ", kept string" * with_text).withColumnRenamed("id", id_col)
