@@ -34,6 +34,7 @@ _PLAIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ɏ]*")
 #: How byte-level BPE vocabularies of this family split a text; on plain texts ``[^\W\d_]`` is a letter and ``\d`` a digit.
 _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 CACHED_WORDS = 500_000
+_MARKS = tuple(".,;:!?")
 #: White space other than single blanks and single line ends between words.
 _LOOSE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 
@@ -64,7 +65,12 @@ class _Spaced(dict):
         self.parts, self.lead = parts, lead
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.parts.__getitem__, _SPLIT.findall(self.lead + word)))
+        if word.isalpha():  # one part
+            ids = _as_bytes(self.parts.encode(self.lead + word))
+        elif word[-1:] in _MARKS and word[:-1].isalpha():  # a word and a mark are two parts
+            ids = self[word[:-1]] + self.parts[word[-1]]
+        else:
+            ids = b"".join(map(self.parts.__getitem__, _SPLIT.findall(self.lead + word)))
         if len(self) < CACHED_WORDS:
             self[word] = ids
         return ids
