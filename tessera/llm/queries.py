@@ -21,7 +21,7 @@ from tessera.llm.suffix_tree import suffix_tree_scores
 from tessera.llm.toxicity import fit_chain, score
 
 #: A document is rejected from this probability of toxicity on.
-TOXIC_AT = 0.9
+TOXIC_AT = 0.8
 BYTE_BPE = "byte_bpe_50k.json"
 
 

@@ -79,7 +79,7 @@ def _telling(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, l
     return np.where(g >= least, np.where(both * n >= here * pos, g, -g), 0)
 
 
-def _logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, l2: float, evidence: float, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def _logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, l2: float, evidence: float, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the columns and of (1, extra) for class-balanced logistic loss; full-batch Adam, so deterministic."""
     use = np.flatnonzero(_telling(rows, columns, y, width, evidence))
     place = np.full(width, -1)
@@ -102,7 +102,7 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, extra:
     return out, v
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000, bits: int = 16, folds: int = 4, l2: float = 1e-4, evidence: float = 12.0) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000, bits: int = 16, folds: int = 4, l2: float = 3e-5, evidence: float = 12.0) -> Chain:
     """A chain over ``categories`` (name, 0/1 column of ``labels``), in that order."""
     ys = [c.cast("double").alias(f"y{i}") for i, (_, c) in enumerate(categories)]
     named = [f"y{i}" for i in range(len(ys))]

@@ -228,7 +228,7 @@ def test_toxicity(odd, spark):
     chain = toxicity.fit_chain(docs, labels, [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))])
     new = spark.createDataFrame([(1, "an unseen idiot and scum here"), (2, "an unseen calm text here"), (3, None), (4, "")], SCHEMA)
     p = {r.doc_id: r.p_toxic for r in toxicity.score(new, chain).collect()}
-    assert p[1] > 0.9 and p[2] < 0.5 and p[3] == p[4] == 0
+    assert p[1] > 0.8 and p[2] < 0.5 and p[3] == p[4] == 0
     out = toxicity.score(odd, chain)
     assert out.count() == len(ODD) and dict(out.dtypes)["p_toxic"] == "double"
     empty = toxicity.fit_chain(docs, labels.where("false"), [("toxic", F.col("toxic"))])
