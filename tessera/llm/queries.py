@@ -158,7 +158,7 @@ def _sql_known(texts: dict[str, str]) -> str:
     return f"(SELECT min(name) AS name, digest FROM (SELECT name, sha256({_sql_canonical('body')}) AS digest FROM (VALUES {rows}) AS t(name, body)) GROUP BY digest)"
 
 
-def op6_sql() -> str:
+def license_sql() -> str:
     return f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 found AS (SELECT doc_id, k.name FROM (SELECT doc_id, sha256({_sql_canonical('line')}) AS digest FROM lines WHERE regexp_matches(line, '(?i)licen[cs]|public domain')) JOIN {_sql_known(NOTICES)} AS k USING (digest)),
@@ -169,4 +169,4 @@ LEFT JOIN {_sql_known(TEXTS)} AS k USING (digest) LEFT JOIN named ON d.doc_id =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_epsilon_grid_join": OP1_SQL, "op3_revisit_resolution": OP3_SQL, "op6_license_digests": op6_sql(), "op10_substring_dedup": OP10_SQL}
+    return {"op1_epsilon_grid_join": OP1_SQL, "op3_revisit_resolution": OP3_SQL, "op6_license_digests": license_sql(), "op10_substring_dedup": OP10_SQL}
