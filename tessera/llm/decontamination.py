@@ -60,12 +60,12 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     """(id, item, start, n_words, similarity): for each document and item the first best window at or above the similarity."""
     items = benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text_col).cast("string")).alias("iw")).where("item is not null and size(iw) > 0").distinct()
     items = items.select("item", "iw", F.size("iw").alias("n"), F.least(F.size("iw"), F.lit(k)).alias("k"))
-    source = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col).cast("string")).alias("w")).where("id is not null and size(w) > 0")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most k rows
     found = None
     for size in sizes:
         own = items.where(F.col("k") == size).select("item", "n", _runs(F.col("iw"), size).alias("item_runs"))
-        part = _matches(source.where(F.size("w") >= size), own, size, similarity, radius, blocks)
+        part = _matches(source, own, size, similarity, radius, blocks)
         found = part if found is None else found.union(part)
     if found is None:
         found = source.join(items, F.lit(False)).select("id", "item", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
@@ -77,11 +77,11 @@ def _matches(source: DataFrame, items: DataFrame, k: int, similarity: float, rad
     per_run = items.select("n", F.explode(F.array_distinct("item_runs")).alias("run")).groupBy("run").agg(F.collect_set("n").alias("ns"))
     if items.agg(F.sum(F.size("item_runs"))).first()[0] <= BROADCAST_RUNS:
         per_run = F.broadcast(per_run)
-    runs = source.select("id", _runs(F.col("w"), k).alias("runs"))
-    seeds = runs.select("id", F.posexplode_outer("runs").alias("p", "run")).join(per_run, "run").select("id", "p", F.explode("ns").alias("n"))
+    runs = _runs(_words(F.col("text")), k).alias("runs")
+    seeds = source.select("id", runs).select("id", F.posexplode_outer("runs").alias("p", "run")).join(per_run, "run").select("id", "p", F.explode("ns").alias("n"))
     starts = seeds.groupBy("id").agg(F.collect_set(F.struct("n", "p")).alias("at"))  # bounded by the document's own length
-    placed = runs.join(starts, "id").select("id", "runs", F.explode("at").alias("at")).select("id", F.col("at.n").alias("n"), F.expr(f"greatest(0, least(at.p, size(runs) - (at.n - {k - 1})))").alias("start"), "runs")
-    windows = placed.select("id", "n", "start", F.expr(f"slice(runs, start + 1, n - {k - 1})").alias("win")).dropDuplicates(["id", "n", "start"])
+    placed = source.join(starts, "id").select("id", runs, "at").select("id", "runs", F.explode("at").alias("at")).select("id", F.col("at.n").alias("n"), F.expr(f"greatest(0, least(at.p, size(runs) - (at.n - {k - 1})))").alias("start"), "runs")
+    windows = placed.select("id", "n", "start", F.expr(f"slice(runs, start + 1, n - {k - 1})").alias("win")).dropDuplicates(["id", "n", "start", "win"])  # rows that share an id may differ
     width = 64 // blocks
     mask = (1 << width) - 1
     cut = lambda c: F.array(*(F.shiftrightunsigned(c, b * width).bitwiseAND(F.lit(mask)) for b in range(blocks)))
@@ -91,7 +91,7 @@ def _matches(source: DataFrame, items: DataFrame, k: int, similarity: float, rad
     index = marked.select("item", "n", "ih", "item_runs", F.posexplode(cut(F.col("ih"))).alias("b", "v")).select("item", "n", "ih", "item_runs", "b", F.explode(flips).alias("flip"), "v").withColumn("v", F.col("v").bitwiseXOR(F.col("flip").cast("long"))).drop("flip")
     probes = windows.select("id", "n", "start", "win", "wh", F.posexplode(cut(F.col("wh"))).alias("b", "v"))
     near = probes.join(index, ["n", "b", "v"]).where(F.bit_count(F.col("wh").bitwiseXOR(F.col("ih"))) <= radius)
-    near = near.dropDuplicates(["id", "n", "start", "item"])
+    near = near.dropDuplicates(["id", "n", "start", "item", "wh"])
     count = "cast(size(filter({0}, y -> y = x)) as double)"
     shared = F.expr(f"aggregate(array_intersect(win, item_runs), 0D, (a, x) -> a + least({count.format('win')}, {count.format('item_runs')}))")
     scored = near.withColumn("shared", shared).withColumn("similarity", F.expr("shared / (size(win) + size(item_runs) - shared)"))
