@@ -10,9 +10,11 @@ against a few centres (the bucket's least id), and only members of different com
 with many components are divided by a second agreeing sketch before that. So a group of g copies costs O(g), nothing
 is capped, and no link between different components of the candidate graph is left unverified.
 
-Recall: a pair with n shared of u runs agrees in one sketch with probability about (n/u)**take, 0.41 at 0.8, and in
-none of 24 with 3e-6; where a bucket had to be divided, two sketches must agree (5e-5 missed). Texts of at most
-``short`` runs get as many sketches of a single run, since few runs make take of them unlikely.
+Pairs whose numbers of runs already rule out the similarity aren't verified.
+
+Recall: a pair with n shared of u runs agrees in one sketch with probability about (n/u)**take, 0.26 at 0.8, and in
+none of 40 with 5e-6; where a bucket had to be divided, two sketches must agree (8e-5 missed). Texts of at most
+``short`` runs get as many sketches of a single run, since few runs make ``take`` of them unlikely.
 
 Defined cases: null, empty and white-space texts have no runs, link with nothing and are kept; texts under k words are
 one run; equal word sequences are always linked; repeated ids are copies of one row's text if equal, and else linked
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import Words, connected_components, dropped, mixed, powers, rolling, text_slices, written
 
 #: Buckets with more components than this are divided by a second sketch before their members are paired.
-WIDE_BUCKET = 48
+WIDE_BUCKET = 16
 
 
 def _labelled(h: np.ndarray, k: int) -> np.ndarray:
@@ -77,10 +79,11 @@ def _sketched(k: int, sketches: int, take: int, short: int):
             for rows, data, offsets in text_slices(batch):
                 words = Words(data, offsets)
                 h, raw = words.hashes(), data.tobytes()
-                classes, found = [], []
+                classes, found, sizes = [], [], []
                 for d in range(len(rows)):
                     own = h[words.first[d] : words.first[d + 1]]
                     classes.append(hashlib.blake2b(b" ".join(raw[offsets[d] : offsets[d + 1]].split()), digest_size=16).digest() if len(own) else None)
+                    sizes.append(max(len(own) - k + 1, min(len(own), 1)))
                     if not len(own):
                         found.append(None)
                         continue
@@ -92,7 +95,7 @@ def _sketched(k: int, sketches: int, take: int, short: int):
                 lengths = [0 if x is None else len(x) for x in found]
                 flat = pa.array(np.concatenate([x for x in found if x is not None]) if any(lengths) else np.zeros(0, dtype=np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), flat)
-                yield pa.record_batch([rows.column(0), pa.array(classes, pa.binary()), lists], names=["id", "class", "sketch"])
+                yield pa.record_batch([rows.column(0), pa.array(classes, pa.binary()), lists, pa.array(sizes, pa.int32())], names=["id", "class", "sketch", "n"])
 
     return run
 
@@ -137,15 +140,20 @@ def _runs_of(batch: pa.RecordBatch, column: str, k: int) -> list[np.ndarray]:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, sketches: int = 24, take: int = 4, short: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, sketches: int = 40, take: int = 6, short: int = 24) -> DataFrame:
     """Per row of ``docs``: id, class_id (the smallest id of its group of near copies), kept (whether it is that one)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(source.mapInArrow(_sketched(k, sketches, take, short), "id long, class binary, sketch array<long>"), "sketches")
+    sketched = written(source.mapInArrow(_sketched(k, sketches, take, short), "id long, class binary, sketch array<long>, n int"), "sketches")
     known = sketched.where("id is not null and class is not null")
-    reps = known.groupBy("class").agg(F.min(F.struct("id", "sketch")).alias("r")).select("class", F.col("r.id").alias("rep"), F.col("r.sketch").alias("sketch"))
+    reps = known.groupBy("class").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("class", F.col("r.id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"))
     reps = written(reps, "reps")
-    keyed = reps.select(F.col("rep"), F.explode("sketch").alias("key"))
-    busy = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keyed = reps.select("rep", "n", F.explode("sketch").alias("key"))
+    busy = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("center"), F.count("*").alias("members")).where("members > 1").drop("members")
+
+    def alike(m, n):
+        """Whether the numbers of runs allow the similarity."""
+        return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+
     keyed = written(keyed.join(busy, "key"), "keys")
     texts = source.where("id is not null").join(keyed.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
@@ -156,21 +164,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # First each text against the least center of its buckets, then against the centers of buckets that still hold
     # several components, then whatever pairs of different components are left.
-    tested = verify(keyed.where("rep <> center").groupBy(F.col("rep").alias("b")).agg(F.min("center").alias("a")).select("a", "b"))
+    near = keyed.where((F.col("rep") != F.col("center.rep")) & alike(F.col("n"), F.col("center.n")))
+    tested = verify(near.groupBy(F.col("rep").alias("b")).agg(F.min("center.rep").alias("a")).select("a", "b"))
     tables = [sketched, reps, keyed, texts, tested]
     for step in ("centers", "rest"):
         parts = connected_components(tested.where("linked").select("a", "b"))
-        placed = keyed.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        open_keys = placed.groupBy("key").agg(F.min(F.struct("part", "rep")).alias("first"), F.max("part").alias("last"), F.count_distinct("part").alias("parts")).where("first.part < last")
+        placed = keyed.select("key", "rep", "n").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
+        open_keys = placed.groupBy("key").agg(F.min(F.struct("part", "rep", "n")).alias("first"), F.max("part").alias("last"), F.count_distinct("part").alias("parts")).where("first.part < last")
         if step == "centers":
-            pairs = placed.join(open_keys, "key").where("part <> first.part").select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"))
+            pairs = placed.join(open_keys, "key").where((F.col("part") != F.col("first.part")) & alike(F.col("n"), F.col("first.n"))).select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"))
         else:
             left = placed.join(open_keys.select("key", "parts"), "key")
-            small = left.where(F.col("parts") <= WIDE_BUCKET).select("key", F.lit(0).cast("long").alias("key2"), "rep", "part")
+            small = left.where(F.col("parts") <= WIDE_BUCKET).select("key", F.lit(0).cast("long").alias("key2"), "rep", "n", "part")
             wide = left.where(F.col("parts") > WIDE_BUCKET)
-            second = wide.select("key", "rep", "part").join(wide.select("rep", F.col("key").alias("key2")), "rep").where("key < key2").select("key", "key2", "rep", "part")
+            second = wide.join(wide.select("rep", F.col("key").alias("key2")), "rep").where("key < key2").select("key", "key2", "rep", "n", "part")
             cells = small.union(second)
-            pairs = cells.alias("x").join(cells.alias("y"), ["key", "key2"]).where("x.rep < y.rep and x.part <> y.part").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            pairs = cells.alias("x").join(cells.alias("y"), ["key", "key2"]).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         more = verify(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         tested = tested.union(more)
         tables.append(more)
