@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import contains_any, nullif_empty
-from tessera.functions.rules import DATE_PATTERN
+from tessera.functions.rules import DATE_PATTERN, FEE_PATTERN, MONEY_PATTERN, PROGRAMME_PATTERN
 from tessera.functions.text import collapsed, sentence_with
 
 _TO = r"\s*(?:-|to|until|through|–)\s*"
@@ -71,14 +71,13 @@ def fee_type(context: Column) -> Column:
 
 
 def fee_snippet(text: Column) -> Column:
-    pattern = r"(?i)((?:(?:Tuition|Fees?|International undergraduate|Domestic undergraduate|Singapore citizen|Permanent resident)[^.\n|]*?(?:USD|SGD|S\$|\$|per year|per annum|annual|semester)[^.\n]*\.?)|(?:(?:USD|SGD|S\$|\$)\s?[0-9][0-9,]*(?:\s*(?:per year|per annum|annual|semester))?))"
-    return nullif_empty(F.trim(F.regexp_extract(text, pattern, 1)))
+    return nullif_empty(F.trim(F.regexp_extract(text, FEE_PATTERN, 1)))
 
 
 def money(text: Column) -> Column:
     """array<struct<currency, amount, student_group, billing_period, fee_type>>: one for each amount; the context of an
     amount is the clause between full stops and bars that holds it, decimals are cut off."""
-    pattern = r"(?i)(HKD|HK\$|S\$|SGD|USD|US\$|\$)\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
+    pattern = MONEY_PATTERN
     clauses = F.split(text, r"\.(?![0-9])|\|")
 
     def of(clause: Column) -> Column:
@@ -99,7 +98,7 @@ def money(text: Column) -> Column:
 
 def programme_names(text: Column) -> Column:
     """Distinct award names (case apart) in their order, up to a verb or the end of the clause."""
-    pattern = r"(?i)\b((?:Bachelor|BSc|BA|BEng|LLB|MBBS|BBA|BAcc)\s+(?:of|in)?\s*[A-Z][A-Za-z&/(),\- ]{2,90}?)(?=\s+(?:requires?|needs?|must)\b|[.;\n]|$)"
+    pattern = PROGRAMME_PATTERN
     names = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(collapsed(n), r"^[ .;,|]+|[ .;,|]+$", ""))
     names = F.filter(names, lambda n: n.contains(" "))
     return F.filter(names, lambda n, i: ~F.exists(F.slice(names, 1, i), lambda m: F.lower(m) == F.lower(n)))

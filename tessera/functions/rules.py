@@ -539,3 +539,11 @@ CORE_FIELDS = (
 )
 
 DATE_PATTERN = r"[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}(?:,\s*[0-9]{1,2}(?::[0-9]{2})?\s*(?:am|pm)?)?"
+
+# Patterns of extractors.
+
+FEE_PATTERN = r"(?i)((?:(?:Tuition|Fees?|International undergraduate|Domestic undergraduate|Singapore citizen|Permanent resident)[^.\n|]*?(?:USD|SGD|S\$|\$|per year|per annum|annual|semester)[^.\n]*\.?)|(?:(?:USD|SGD|S\$|\$)\s?[0-9][0-9,]*(?:\s*(?:per year|per annum|annual|semester))?))"
+
+MONEY_PATTERN = r"(?i)(HKD|HK\$|S\$|SGD|USD|US\$|\$)\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
+
+PROGRAMME_PATTERN = r"(?i)\b((?:Bachelor|BSc|BA|BEng|LLB|MBBS|BBA|BAcc)\s+(?:of|in)?\s*[A-Z][A-Za-z&/(),\- ]{2,90}?)(?=\s+(?:requires?|needs?|must)\b|[.;\n]|$)"
