@@ -198,6 +198,63 @@ def test_suffix_tree(documents, odd, spark):
     assert suffix_tree.suffix_tree_scores(spark.createDataFrame([], SCHEMA), held).count() == 0
 
 
+def suffix_scores(rows, out, depth=4, prior=1.0, divergence=2.0):
+    """Scores by (id, text) of the whole tree, every context counted one by one."""
+    split = lambda t: [*(bytes(x + 32 if 65 <= x <= 90 else x for x in w) for w in words(t)), b"\n"]
+    texts = [(out(i), split(t)) for i, t in rows]
+    c = Counter(w for held, ws in texts if not held for w in ws)
+    base = sum(c.values()) + len(c) + 1
+    n, seen = Counter(), Counter()
+    for held, ws in texts:
+        for k, x in enumerate(ws):
+            for j in range(1, min(k, depth) + 1):
+                n[tuple(ws[k - j : k])] += not held
+                seen[tuple(ws[k - j : k]), x] += not held
+
+    def chain(ws, k, own):
+        p = [(c[ws[k]] + 1) / base]
+        for j in range(1, min(k, depth) + 1):
+            s = tuple(ws[k - j : k])
+            p.append((seen[s, ws[k]] - own + prior * p[-1]) / (n[s] - own + prior))
+        return p
+
+    total = Counter()
+    for held, ws in texts:
+        for k in range(0 if held else len(ws)):
+            p = chain(ws, k, 1)
+            for j in range(1, len(p)):
+                total[tuple(ws[k - j : k])] += math.log(p[j] / p[j - 1])
+    scores = []
+    for _, ws in texts:
+        score = 0.0
+        for k in range(len(ws)):
+            p = chain(ws, k, 0)
+            score += math.log10(p[max([0, *(j for j in range(1, len(p)) if total[tuple(ws[k - j : k])] >= divergence)])])
+        scores.append(score)
+    return sorted(((i, len(ws), round(x, 3)) for (i, _), (_, ws), x in zip(rows, texts, scores, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("hot", [None, 3, 40])
+@pytest.mark.parametrize("which", ["odd", "some"])
+def test_suffix_tree_whole(request, spark, documents, which, hot):
+    """Contexts that begin with any word, of any length, wherever they are counted, against brute force."""
+    df = request.getfixturevalue("odd") if which == "odd" else documents.where("doc_id % 3 = 0").repartition(3)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    want = suffix_scores([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], out)
+    res = suffix_tree.suffix_tree_scores(df, F.expr("crc32(cast(doc_id as string)) % 7 = 2"), hot=hot).collect()
+    got = sorted(((r.doc_id, r.n_tokens, round(r.score, 3)) for r in res), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) <= 0.003 for g, w in zip(got, want, strict=True))
+    assert sum(r.score for r in res if r.held_out) > sum(r.base_score for r in res if r.held_out) or which == "odd"
+
+
+def test_suffix_tree_frequent(spark):
+    """A frequent word that decides what follows is a state, and so is a context across two of them."""
+    rows = [(i, f"of{i % 2} the w{i % 2} z{i}") for i in range(200)]
+    got = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 10 == 3).collect()}
+    assert all(r.score > r.base_score + 1 for r in got.values())
+
+
 def test_suffix_tree_states():
     """A word that always follows a rare one is predicted better, and states' distributions sum to one."""
     import numpy as np
