@@ -34,13 +34,25 @@ def known_licences(spark, texts: dict[str, str]) -> DataFrame:
     return rows.select("name", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("name").alias("name"))
 
 
+def _begins(spark, notices: dict[str, str]) -> str:
+    """A pattern of the lower-case lines whose canonical form can be a notice's: they begin with its first word, or with
+    another spelling of it."""
+    rows = spark.createDataFrame([(text,) for text in notices.values()], "text string").select(canonical(F.col("text")).alias("c"))
+    first = {r.c.split(" ")[0] for r in rows.collect() if r.c}
+    for other, one in reversed(SPELLINGS * 2):
+        if one.split(" ")[0] in first:
+            first.add(other.split(" ")[0])
+    return r"^[^\p{L}\p{N}]*(?:" + "|".join(sorted(first)) + r")(?![\p{L}\p{N}])" if first else "(?!)"
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES) -> DataFrame:
     """Per row: id, digest, license (of the whole text, else null), notices (names of one-line notices, sorted)."""
     spark = docs.sparkSession
     whole = F.broadcast(known_licences(spark, texts).withColumnRenamed("name", "license"))  # as many rows as known texts
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     listed = known_licences(spark, notices).agg(F.map_from_entries(F.collect_list(F.struct("digest", "name"))).alias("by_digest"))
-    maybe = F.filter(lines, lambda line: line.rlike("(?i)licen[cs]|public domain"))  # every known notice holds one of these
+    begins = _begins(spark, notices)
+    maybe = F.filter(lines, lambda line: F.lower(line).rlike(begins))
     rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col).cast("string")), 256).alias("digest"), maybe.alias("_lines")).crossJoin(F.broadcast(listed))
     found = F.transform("_lines", lambda line: F.element_at("by_digest", F.sha2(canonical(line), 256)))
     out = rows.select(id_col, "digest", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda n: n.isNotNull()))), ",").alias("notices"))

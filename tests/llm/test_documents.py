@@ -299,3 +299,19 @@ def test_licences(odd, spark):
     got = {r.doc_id: (r.license, r.notices) for r in licences.license_scan(spark.createDataFrame(texts, SCHEMA)).collect()}
     assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: ("MIT", ""), 4: (None, ""), 5: (None, "MIT"), 6: (None, ""), 7: (None, "")}
     assert licences.license_scan(odd).count() == len(ODD)
+
+
+def test_licences_common(spark):
+    """Common licences, notices without the word licence, and other spellings of a notice's first word."""
+    from pathlib import Path
+
+    from tessera.llm.licence_texts import TEXTS
+
+    folder = Path(licences.__file__).parent / "licence_files"
+    texts = [(f.stem, f"Copyright 2020 X\n{f.read_text().upper()}") for f in folder.glob("*.txt")] + [(k, TEXTS[k]) for k in ("BSD-2-Clause", "BSD-3-Clause", "Unlicense")]
+    got = licences.license_scan(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert len(got) == 16 and all(r.license == r.doc_id for r in got)
+    lines = [(1, "x\n// SPDX-License-Identifier: BSD-3-Clause"), (2, "Licenced under CC BY 4.0"), (3, "* Free to use by all *\ny"), (4, "Not free to use by all")]
+    df = spark.createDataFrame(lines, SCHEMA)
+    assert {r.doc_id: r.notices for r in licences.license_scan(df).collect()} == {1: "BSD-3-Clause tag", 2: "CC-BY-4.0", 3: "", 4: ""}
+    assert {r.doc_id: r.notices for r in licences.license_scan(df, notices={"all": "Free to use by all."}).collect()} == {1: "", 2: "", 3: "all", 4: ""}
