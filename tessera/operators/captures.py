@@ -1,4 +1,4 @@
-"""Captured responses: contracts, redaction, browser fallback, API bodies, candidates, filters and assets."""
+"""Captured responses: contracts, redaction, browser fallback, API bodies, candidates and filters."""
 
 from __future__ import annotations
 
