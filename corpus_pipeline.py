@@ -52,7 +52,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No SQL expresses the tokeniser, the classifier or the packing; tests hold run() against brute force.
+#: No SQL expresses the tokeniser, the classifier or the packing. Tests call the first four stages on raw documents with weak
+#: checks and hold the operators against brute force; no test calls run().
 ORACLE_SQL = None
 
 
