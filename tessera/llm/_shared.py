@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of text whose words are hashed at a time.
+_BLOCK_BYTES = 1 << 18
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,9 +29,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
+    """The folder that the driver and all executors see. Where the session names none, a temporary one for a local
+    master, which has one machine; an error for a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -124,15 +129,22 @@ class Words:
         """A 64-bit hash of each word, or of its first ``most`` bytes."""
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
-        lengths = self.ends - self.starts
-        at = np.flatnonzero(self._inside)  # every byte of every word, in order
-        offset = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        place = np.arange(len(at)) - np.repeat(offset, lengths)
-        part = (self.data[at].astype(np.uint64) + np.uint64(1)) * powers(base, int(lengths.max()))[place]
-        if most:
-            part[place >= most] = 0
-            lengths = np.minimum(lengths, most)
-        return mixed(np.add.reduceat(part, offset) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        lo = 0
+        while lo < len(out):  # some words at a time, so that what is held for each byte stays small
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + _BLOCK_BYTES)))
+            begin, end = self.starts[lo], self.ends[hi - 1]
+            lengths = self.ends[lo:hi] - self.starts[lo:hi]
+            at = np.flatnonzero(self._inside[begin:end])  # every byte of every word, in order
+            offset = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            place = np.arange(len(at)) - np.repeat(offset, lengths)
+            part = (self.data[begin:end][at].astype(np.uint64) + np.uint64(1)) * powers(base, int(lengths.max()))[place]
+            if most:
+                part[place >= most] = 0
+                lengths = np.minimum(lengths, most)
+            out[lo:hi] = mixed(np.add.reduceat(part, offset) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            lo = hi
+        return out
 
 
 def rolling(h: np.ndarray, size: int, base: np.uint64 = np.uint64(0xC2B2AE3D27D4EB4F)) -> np.ndarray:

@@ -5,20 +5,24 @@ runs under one hash function *in their order in the text*; texts that agree in a
 candidates. The similarity of two texts is that of the aligned sequences, L / (m + n - L) with L the longest common
 subsequence of their runs: the Jaccard similarity of occurrence-labelled runs that also stand in the same order.
 
-Bounded work on large groups: exact copies are one class from the start. Candidates of a bucket are first verified
-against a few centres (the bucket's least id), and only members of different components are paired afterwards; buckets
-with many components are divided by a second agreeing sketch before that. So a group of g copies costs O(g), nothing
-is capped, and no link between different components of the candidate graph is left unverified.
+Equal word sequences are one node from the start. In each bucket of a sketch, members are compared with its hub, the
+member that shares most buckets with others; then, in buckets that still hold several components, the members of others
+with the hub; then every pair of a bucket whose texts are in different components, but for those that a bound rules out.
+The bound is exact: each text has bitmaps of its hashed runs, and each bit that only one of two texts has is a run that
+the other lacks. So pairs within a component are never listed, and no candidate pair that could link two components is
+left unverified, whatever the size of its bucket.
 
-Pairs whose numbers of runs already rule out the similarity aren't verified.
+To verify pairs, the runs of a pair's second text go to those of its first, which are read once for each of the first
+text's parts; parts hold about 512 pairs.
 
-Recall: a pair with n shared of u runs agrees in one sketch with probability about (n/u)**take, 0.26 at 0.8, and in
-none of 40 with 5e-6; where a bucket had to be divided, two sketches must agree (8e-5 missed). Texts of at most
-``short`` runs get as many sketches of a single run, since few runs make ``take`` of them unlikely.
+Recall: two texts with n shared of u runs agree in one sketch with probability about (n/u)**take, 0.26 at 0.8, and in
+none of 40 with 5e-6. Texts of at most ``short`` runs get as many sketches of three runs more, since few runs make
+``take`` of them unlikely: at worst (24 of 30 runs, or 4 of 5) 40 of them miss with 2e-9.
 
 Defined cases: null, empty and white-space texts have no runs, link with nothing and are kept; texts under k words are
-one run; equal word sequences are always linked; repeated ids are copies of one row's text if equal, and else linked
-as the smallest such row is; null ids are returned as their own class with a null class id; other columns are ignored.
+one run; equal word sequences are always linked. Rows that share an id but not the text are told apart by a hash of the
+text; of each class the row with the least (id, hash) is kept, and if it is repeated, each repetition. Rows with a null
+id get their text's class, choose nothing and are kept. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import Words, connected_components, dropped, mixed, powers, rolling, text_slices, written
 
-#: Buckets with more components than this are divided by a second sketch before their members are paired.
-WIDE_BUCKET = 16
-
+#: Longs of the two bitmaps of a text's runs; the first is the second one folded.
+FOLDED, BITMAP = 16, 64
+#: Pairs of a first text that are verified in one place, about.
+PART = 512
 
 def _labelled(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word runs, made unique by their occurrence."""
@@ -59,7 +64,7 @@ def _sketch(runs: np.ndarray, seeds: np.ndarray, take: int) -> np.ndarray:
     """For each seed, a hash of the ``take`` least runs in text order."""
     take = min(take, len(runs))
     out = []
-    step = max(1, (1 << 21) // len(runs))
+    step = max(1, (1 << 19) // len(runs))
     for at in range(0, len(seeds), step):
         some = seeds[at : at + step]
         h = runs[None, :] ^ some[:, None]
@@ -90,105 +95,180 @@ def _sketched(k: int, sketches: int, take: int, short: int):
                     runs = _labelled(own, k)
                     keys = _sketch(runs, seeds[:sketches], take)
                     if len(runs) <= short:
-                        keys = np.concatenate((keys, _sketch(runs, seeds[sketches:], 1)))
+                        keys = np.concatenate((keys, _sketch(runs, seeds[sketches:], min(take, 3))))
                     found.append(keys.view(np.int64))
                 lengths = [0 if x is None else len(x) for x in found]
                 flat = pa.array(np.concatenate([x for x in found if x is not None]) if any(lengths) else np.zeros(0, dtype=np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), flat)
-                yield pa.record_batch([rows.column(0), pa.array(classes, pa.binary()), lists, pa.array(sizes, pa.int32())], names=["id", "class", "sketch", "n"])
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(classes, pa.binary()), lists, pa.array(sizes, pa.int32())], names=["id", "t", "class", "sketch", "n"])
 
     return run
 
 
-def aligned_runs(a: np.ndarray, b: np.ndarray, least: float) -> int:
-    """Length of the longest common subsequence of two sequences of distinct values, or 0 where that of their shared
-    values already rules out the similarity ``least``. Exact for every pair that reaches it."""
-    shared, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    n, total = len(shared), len(a) + len(b)
+def _bitmap(runs: np.ndarray, longs: int) -> np.ndarray:
+    out = np.zeros(longs * 8, np.uint8)
+    at = (runs % np.uint64(longs * 64)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    return out.view(np.int64)
+
+
+def _runs(k: int):
+    """Of each text its labelled runs and the bitmaps of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch):
+                words = Words(data, offsets)
+                h = words.hashes()
+                found = [_labelled(h[words.first[d] : words.first[d + 1]], k) for d in range(len(rows))]
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_bitmap(r, size) for r in found])), size).cast(pa.list_(pa.int64())) for size in (FOLDED, BITMAP)]
+                yield pa.record_batch([rows.column(0), pa.array([len(r) for r in found], pa.int32()), pa.array([r.tobytes() for r in found], pa.binary()), *lists], names=["node", "n", "runs", "fold", "bits"])
+
+    return run
+
+
+def _aligned(ordered: np.ndarray, places: np.ndarray, b: np.ndarray, least: float) -> int:
+    """aligned_runs() with the sorted values of a, and where they stand in a."""
+    at = np.minimum(np.searchsorted(ordered, b), len(ordered) - 1)
+    own = np.flatnonzero(ordered[at] == b)
+    n, total = len(own), len(ordered) + len(b)
     if not n or n < least * (total - n) - 1e-9:
         return 0
-    order = ib[np.argsort(ia)]
-    if np.all(order[1:] > order[:-1]):  # already in order: the alignment is the shared values
+    other = places[at[own]]
+    if np.all(other[1:] > other[:-1]):  # already in order: the alignment is the shared values
         return n
     tails: list[int] = []
     need = least / (1 + least) * total  # runs that a long enough alignment has at least
     band = int(total - 2 * need) + 1  # and so the widest offset between two aligned places
-    for x, y in zip(np.sort(ia).tolist(), order.tolist(), strict=True):
-        if abs(x - y) > band:  # outside the band no alignment is long enough
-            continue
+    near = np.abs(own - other) <= band  # outside the band no alignment is long enough
+    for y in other[near].tolist():
         at = bisect_left(tails, y)
         tails[at : at + 1] = [y]
     return len(tails)
 
 
-def _verified(k: int, least: float):
+def aligned_runs(a: np.ndarray, b: np.ndarray, least: float) -> int:
+    """Length of the longest common subsequence of two sequences of distinct values, or 0 where that of their shared
+    values already rules out the similarity ``least``. Exact for every pair that reaches it."""
+    if not len(a) or not len(b):
+        return 0
+    places = np.argsort(a)
+    return _aligned(a[places], places, b, least)
+
+
+def _verified(least: float):
+    """Rows come sorted: those of a first text (b null) and then the second texts of its pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered = places = np.zeros(0, np.uint64)
         for batch in batches:
-            sides = [_runs_of(batch, name, k) for name in ("text_a", "text_b")]
-            ok = [(n := aligned_runs(a, b, least)) > 0 and n >= least * (len(a) + len(b) - n) - 1e-9 for a, b in zip(*sides, strict=True)]
-            yield batch.select(["a", "b"]).append_column("linked", pa.array(ok, pa.bool_()))
+            seconds, linked = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)), []
+            second = set(seconds.tolist())
+            for k, blob in enumerate(batch.column(2)):
+                runs = np.frombuffer(blob.as_buffer(), np.uint64)
+                if k in second:
+                    n = _aligned(ordered, places, runs, least)
+                    linked.append(n > 0 and n >= least * (len(ordered) + len(runs) - n) - 1e-9)
+                else:
+                    places = np.argsort(runs)
+                    ordered = runs[places]
+            at = pa.array(seconds)
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
-def _runs_of(batch: pa.RecordBatch, column: str, k: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, data, offsets in text_slices(batch, column):
-        words = Words(data, offsets)
-        h = words.hashes()
-        out += [_labelled(h[words.first[d] : words.first[d + 1]], k) for d in range(len(offsets) - 1)]
+def _verify(pairs: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, linked) of pairs (a, b) of nodes."""
+    pairs = written(pairs, "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    second = dealt.join(runs.select(F.col("node").alias("b"), "runs"), "b").select("a", "b", "runs", "part")
+    first = parts.join(runs.select(F.col("node").alias("a"), "runs"), "a").select("a", F.lit(None).cast("long").alias("b"), "runs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = first.unionByName(second).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = written(rows.mapInArrow(_verified(similarity), "a long, b long, linked boolean"), "verified")
+    dropped(pairs)
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, sketches: int = 40, take: int = 6, short: int = 24) -> DataFrame:
-    """Per row of ``docs``: id, class_id (the smallest id of its group of near copies), kept (whether it is that one)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(source.mapInArrow(_sketched(k, sketches, take, short), "id long, class binary, sketch array<long>, n int"), "sketches")
-    known = sketched.where("id is not null and class is not null")
-    reps = known.groupBy("class").agg(F.min(F.struct("id", "n", "sketch")).alias("r")).select("class", F.col("r.id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"))
-    reps = written(reps, "reps")
-    keyed = reps.select("rep", "n", F.explode("sketch").alias("key"))
-    busy = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("center"), F.count("*").alias("members")).where("members > 1").drop("members")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, sketches: int = 40, take: int = 6, short: int = 24, with_hash: bool = False) -> DataFrame:
+    """Per row of ``docs``: id, class_id (the smallest id of its group of near copies), kept (whether the row is the least
+    of the group) and, with_hash, text_hash (xxhash64 of the text), which tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    sketched = written(source.mapInArrow(_sketched(k, sketches, take, short), "id long, t long, class binary, sketch array<long>, n int"), "sketches")
+    classes = sketched.where("id is not null and class is not null").groupBy("class").agg(F.min(F.struct("id", "t")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "class", "row", "n", "sketch"), "nodes")
 
-    def alike(m, n):
+    def alike(m: Column, n: Column) -> Column:
         """Whether the numbers of runs allow the similarity."""
         return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
 
-    keyed = written(keyed.join(busy, "key"), "keys")
-    texts = source.where("id is not null").join(keyed.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    keyed = classes.select("node", "n", F.explode("sketch").alias("key"))
+    busy = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = written(keyed.join(busy, "key"), "keys")
+    reach = met.groupBy("node").agg(F.sum("members").alias("reach"))
+    hubs = met.join(reach, "node").groupBy("key").agg(F.min(F.struct(-F.col("reach"), "node", "n")).alias("hub"))
+    keyed = written(met.join(hubs, "key").select("key", "node", "n", "hub"), "keys")
+    dropped(met)
+    picked = written(classes.join(keyed.select("node").distinct(), "node").select("node", "row.id", "row.t"), "picked")
+    texts = source.join(picked, ["id", "t"]).groupBy("id", "t", "node").agg(F.first("text").alias("text")).select("node", "text")
+    runs = written(texts.mapInArrow(_runs(k), "node long, n int, runs binary, fold array<long>, bits array<long>"), "runs")
+    dropped(picked)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return written(rows.mapInArrow(_verified(k, similarity), "a long, b long, linked boolean"), "verified")
+    # Each text against the hub of its buckets that shares most of them.
+    near = keyed.where((F.col("node") != F.col("hub.node")) & alike(F.col("n"), F.col("hub.n")))
+    tested = _verify(near.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("hub")).select(F.col("hub.node").alias("a"), "b"), runs, similarity)
+    tables = [sketched, classes, keyed, runs, tested]
 
-    # First each text against the least center of its buckets, then against the centers of buckets that still hold
-    # several components, then whatever pairs of different components are left.
-    near = keyed.where((F.col("rep") != F.col("center.rep")) & alike(F.col("n"), F.col("center.n")))
-    tested = verify(near.groupBy(F.col("rep").alias("b")).agg(F.min("center.rep").alias("a")).select("a", "b"))
-    tables = [sketched, reps, keyed, texts, tested]
-    for step in ("centers", "rest"):
+    def placed() -> DataFrame:
+        """Members of buckets that hold several components, with their own, the hub's and the largest one."""
         parts = connected_components(tested.where("linked").select("a", "b"))
-        placed = keyed.select("key", "rep", "n").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-        open_keys = placed.groupBy("key").agg(F.min(F.struct("part", "rep", "n")).alias("first"), F.max("part").alias("last"), F.count_distinct("part").alias("parts")).where("first.part < last")
-        if step == "centers":
-            pairs = placed.join(open_keys, "key").where((F.col("part") != F.col("first.part")) & alike(F.col("n"), F.col("first.n"))).select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b"))
-        else:
-            left = placed.join(open_keys.select("key", "parts"), "key")
-            small = left.where(F.col("parts") <= WIDE_BUCKET).select("key", F.lit(0).cast("long").alias("key2"), "rep", "n", "part")
-            wide = left.where(F.col("parts") > WIDE_BUCKET)
-            second = wide.join(wide.select("rep", F.col("key").alias("key2")), "rep").where("key < key2").select("key", "key2", "rep", "n", "part")
-            cells = small.union(second)
-            pairs = cells.alias("x").join(cells.alias("y"), ["key", "key2"]).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        more = verify(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        tested = tested.union(more)
-        tables.append(more)
-    parts = connected_components(tested.where("linked").select("a", "b"))
-    reps_of = reps.select("class", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("class_id"))
-    out = sketched.select("id", "class").join(reps_of, "class", "left")
-    class_id = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    out = out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
-    out = written(out, "classes")
+        own = keyed.join(parts.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("key", "node", "n", "hub", F.coalesce("component", "node").alias("part"))
+        sizes = own.groupBy("key", "part").agg(F.count("*").alias("c"), F.max(F.col("node") == F.col("hub.node")).alias("hubs"))
+        several = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max_by("part", "hubs").alias("hub_part"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        return own.join(several, "key")
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        listed = written(pairs.distinct(), "listed")
+        tables.append(listed)
+        return listed.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+    hub = F.col("hub.node")
+    rows = placed().where((F.col("part") != F.col("hub_part")) & alike(F.col("n"), F.col("hub.n")))
+    more = _verify(fresh(rows.select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b"))), runs, similarity)
+    tables.append(more)
+    tested = tested.union(more)
+
+    # All other pairs of different components. One text of each is outside of the bucket's largest component.
+    rows = placed().select("key", "node", "part", "main").join(runs.select("node", "n", "fold", "bits"), "node")
+    rows = written(rows, "open")
+    tables.append(rows)
+    x, y = rows.where("part <> main").alias("x"), rows.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+
+    def possible(shared: Column, count: str) -> Column:
+        """Whether so many shared bits allow the similarity."""
+        of = lambda side: F.col(f"{side}.n") - F.expr(f"aggregate({side}.{count}, 0, (s, v) -> s + bit_count(v))") + shared
+        most = F.least(of("x"), of("y"))
+        return most >= similarity * (both - most) - 1e-9
+
+    folded = sum((F.bit_count(F.col("x.fold")[i].bitwiseAND(F.col("y.fold")[i])) for i in range(1, FOLDED)), F.bit_count(F.col("x.fold")[0].bitwiseAND(F.col("y.fold")[0])))
+    whole = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p & q)), 0, (s, v) -> s + v)")
+    apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike(F.col("x.n"), F.col("y.n")) & possible(folded, "fold") & possible(whole, "bits"))
+    more = _verify(fresh(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))), runs, similarity)
+    tables.append(more)
+    parts = connected_components(tested.union(more).where("linked").select("a", "b"))
+
+    grouped = classes.select("class", "row", "node").join(parts, "node", "left").select("class", "row", F.coalesce("component", "node").alias("part"))
+    least = grouped.groupBy("part").agg(F.min("row").alias("least"))
+    least = grouped.select("class", "part").join(least, "part").select("class", "least")
+    out = sketched.select("id", "t", "class").join(least, "class", "left")
+    class_id = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least.id"))
+    kept = F.col("class").isNull() | F.col("id").isNull() | ((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")))
+    out = out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce(kept, F.lit(True)).alias("kept"), F.col("t").alias("text_hash"))
+    out = written(out if with_hash else out.drop("text_hash"), "classes")
     for t in tables:
         dropped(t)
     return out
