@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = written(met.join(hubs, "key").select("key", "node", "n", "hub"), "keys")
     dropped(met)
     picked = written(classes.join(keyed.select("node").distinct(), "node").select("node", "row.id", "row.t"), "picked")
-    texts = source.join(picked, ["id", "t"]).groupBy("id", "t", "node").agg(F.first("text").alias("text")).select("node", "text")
+    # Always a merge join: what is picked grows with the texts.
+    texts = source.join(picked.hint("merge"), ["id", "t"]).groupBy("id", "t", "node").agg(F.first("text").alias("text")).select("node", "text")
     runs = written(texts.mapInArrow(_runs(k), "node long, n int, runs binary, fold array<long>, bits array<long>"), "runs")
     dropped(picked)
 
