@@ -25,12 +25,18 @@ PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expire
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, ``www.``, default port, fragment, tracking parameters and a last slash don't tell captures apart."""
-    lead = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), r"^(?:[^@]*@)?(?:www\.)?|:(?:80|443)$", "")
+    """What tells captures apart: not http or https, user information, ``www.``, the default port, the fragment, tracking
+    parameters (``utm_*`` and ``ref``) or last slashes. Addresses without an authority (``dns:a.com``, ``urn:x:1``,
+    ``a.com/x``) keep all but the fragment."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    place = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), r"^(?:[^@]*@)?(?:www\.)?|:(?:80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1), r"/+$", "")
-    query = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), r"(?:^|&)(?:utm_[^&=]*|ref)(?:=[^&]*)?", "")
-    query = F.regexp_replace(query, r"^&", "")
-    return F.when(url.isNotNull(), F.concat(lead, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    given = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: ~p.rlike(r"^(?:utm_[^=]*|ref)(?:=|$)"))
+    query = F.array_join(given, "&")
+    lead = F.when(scheme.isin("", "http", "https"), "").otherwise(F.concat(scheme, F.lit("://")))
+    named = F.concat(lead, place, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    bare = F.regexp_replace(F.concat(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)?", 1)), F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")), r"#.*$", "")
+    return F.when(url.isNotNull(), F.when(url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), named).otherwise(bare))
 
 
 def _lower_keys(headers: Column) -> Column:
