@@ -1,7 +1,7 @@
 """License scans by canonical digests; DataFrame functions only.
 
-A text is put into canonical form - lower case, equivalent spellings made one, copyright lines dropped, everything but
-letters and digits made single blanks - and the SHA-256 digest of that form is looked up among those of known licence
+A text is put into canonical form - lower case, equivalent spellings made one, lines dropped that state a copyright
+holder or year, everything but letters and digits made single blanks - and the SHA-256 digest of that form is looked up among those of known licence
 texts. The same is done with every line of a text against known one-line notices.
 
 Defined cases: null, empty and mark-only texts have the digest of the empty text and match nothing; repeated rows are
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
 
-_COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words that follow "copyright" in the prose of licences, where no holder or year is stated.
+PROSE = "notices? holders? owners? owned laws? licen[cs]es? licensed interests? statements? protection treaty act rights? disclaimers? disclaimed ownership permission patents? works? status or and in is to the that for on of as a with any".split()
+_COPYRIGHT = rf"(?m)^[ \t#*/;-]*(?:copyright(?![ \t]+(?:{'|'.join(PROSE)})\b)(?=[ \t:]*[^\s:])|\(c\)[ \t]*(?:copyright\b|[0-9]{{4}})|©|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

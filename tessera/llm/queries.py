@@ -11,7 +11,7 @@ from tessera.llm._shared import table
 from tessera.llm.decontamination import contaminated_windows
 from tessera.llm.embedding_dedup import embedding_duplicates
 from tessera.llm.licence_texts import NOTICES, SPELLINGS, TEXTS
-from tessera.llm.licences import license_scan
+from tessera.llm.licences import PROSE, license_scan
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_sequences
 from tessera.llm.quality import quality_scores
@@ -95,7 +95,7 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("removed", "text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -126,8 +126,8 @@ FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) AS c ON v.vec_i
 OP3_SQL = r"""
 WITH parts AS (SELECT page_id, '"' || md5(html) || '"' AS tag, 'day ' || page_id AS day, CAST(length(html) AS VARCHAR) AS size, page_id % 5 AS k,
   regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^(?:[^@]*@)?(?:www\.)?|:(?:80|443)$', '', 'g')
-  || regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS place,
-  regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '(?:^|&)(?:utm_[^&=]*|ref)(?:=[^&]*)?', '', 'g'), '^&', '') AS query FROM pages),
+  || rtrim(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/') AS place,
+  regexp_replace(regexp_replace(split_part(split_part(url, '#', 1), '?', 2), '(^|&)(utm_[^&=]*|ref)(=[^&]*)?(?:(&)(utm_[^&=]*|ref)(=[^&]*)?)*($|&)', '\1\7', 'g'), '^&|&$', '', 'g') AS query FROM pages),
 base AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM parts),
 full_ AS (SELECT page_id * 4 AS id, url_key, page_id * 10 AS captured, tag, day, size FROM base UNION ALL SELECT page_id * 4 + 3, url_key, page_id * 10 + 4, '"newer"', day, size FROM base WHERE page_id % 3 = 0),
 stored AS (SELECT url_key, captured, max(id) AS id, arg_max(tag, id) AS tag, arg_max(day, id) AS day, arg_max(size, id) AS size FROM full_ GROUP BY ALL HAVING true),
@@ -146,7 +146,12 @@ def _sql_text(text: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \\t#*/;-]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+    """Lines by themselves, where the operator has one pattern for all of a text."""
+    start = "regexp_replace(line, '^[ \\t#*/;-]*', '')"
+    rest = f"regexp_extract({start}, '^copyright(.*)$', 1)"
+    holder = f"(starts_with({start}, 'copyright') AND regexp_matches({rest}, '^[ \\t:]*[^\\s:]') AND NOT regexp_matches({rest}, '^[ \\t]+({'|'.join(PROSE)})([^a-z0-9_]|$)'))"
+    dropped = f"({holder} OR regexp_matches({start}, '^(\\(c\\)[ \\t]*(copyright([^a-z0-9_]|$)|[0-9][0-9][0-9][0-9])|©|all rights reserved)'))"
+    out = f"array_to_string(list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda line: CASE WHEN {dropped} THEN ' ' ELSE line END), chr(10))"
     out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for other, one in SPELLINGS * 2:
         out = f"replace({out}, ' {other} ', ' {one} ')"

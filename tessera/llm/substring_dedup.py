@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import Words, dropped, mixed, rolling, text_slices, written
@@ -100,10 +100,14 @@ def merged(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + size).tolist(), strict=True))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.hash(text.cast("string"))
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and k, which tells the texts of rows that share an id apart."""
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.hash(text).alias("k"))
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("text"), text_hash(text).alias("k"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50) -> DataFrame:
@@ -142,8 +146,8 @@ def _apply(size: int, with_text: bool):
                 joined = b" ".join(kept)
                 for col, value in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), spans, joined.decode() if with_text else None), strict=True):
                     col.append(value)
-            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array([[{"start": a, "end": b} for a, b in s] for s in cols[3]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-            names = ["id", "n_words", "n_removed", "kept_sha256", "removed"]
+            arrays = [batch.column(0), batch.column(batch.schema.get_field_index("k")), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array([[{"start": a, "end": b} for a, b in s] for s in cols[3]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+            names = ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "removed"]
             if with_text:
                 arrays, names = [*arrays, pa.array(cols[4], pa.string())], [*names, "kept"]
             yield pa.record_batch(arrays, names=names)
@@ -152,8 +156,9 @@ def _apply(size: int, with_text: bool):
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, with_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: id, n_words, n_removed, kept_sha256, removed (maximal word intervals) and, with_text, kept."""
+    """Per row of ``docs``: id, text_hash, n_words, n_removed, kept_sha256, removed (maximal word intervals) and,
+    with_text, kept."""
     found = removals(docs, id_col, text_col, size)
-    joined = _source(docs, id_col, text_col).join(found, ["id", "k"], "left").select("id", "text", "starts", "whole")
-    schema = "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>"
+    joined = _source(docs, id_col, text_col).join(found, ["id", "k"], "left").select("id", "text", "k", "starts", "whole")
+    schema = "id long, text_hash int, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>"
     return joined.mapInArrow(_apply(size, with_text), schema + ", kept string" * with_text).withColumnRenamed("id", id_col)
