@@ -9,9 +9,10 @@ bits are cut into ``blocks`` blocks, and fingerprints within ``radius`` bits agr
 within the radius are verified exactly: the sum of the lesser run weights by that of the greater ones, with a run's
 weight its count.
 
-The default radius of 31 bits admits every pair that a similarity of 0.8 can put there but for a chance below 1e-9:
-such pairs share 8/9 of the run weight, each bit differs with probability below 0.16, and 64 bits differ in 10 on
-average. With 16 blocks of 4 bits one block agrees to within one bit.
+The default radius is 17 of 64 bits: texts that share 8/9 of their run weight, which a similarity of 0.8 has, differ in
+each bit with probability 0.15, so in 10 bits on average, and in more than 17 in 3 of 1000 pairs; more similar ones
+hardly ever. Random fingerprints are that near with 2e-4. With 6 blocks of 10 or 11 bits one block agrees to within two
+bits, which 18 % of random pairs do.
 
 Defined cases: words are runs of letters and digits in lower case; null or empty texts and items match nothing; items
 under k words use runs of their own length; documents shorter than an item are one window; repeated ids are merged;
@@ -44,19 +45,26 @@ def _runs(words: Column, k: int) -> Column:
 
 
 def _with_simhash(df: DataFrame, runs: str, name: str) -> DataFrame:
-    """Adds 64 sign bits of the summed bits of an array of hashes: four 16-bit counters share a long, so arrays may
-    have 65,535 entries."""
-    lanes = ", ".join(f"aggregate({runs}, 0L, (a, r) -> a + (shiftrightunsigned(r, {b}) & 281479271743489L))" for b in range(16))
-    df = df.withColumn("_lanes", F.expr(f"array({lanes})"))
-    bits = " | ".join(f"if(2 * (shiftrightunsigned(_lanes[{b % 16}], {b // 16 * 16}) & 65535L) > size({runs}), shiftleft(1L, {b}), 0L)" for b in range(64))
-    return df.withColumn(name, F.expr(bits)).drop("_lanes")
+    """Adds 64 sign bits of the summed bits of an array of hashes. Four 16-bit counters share a long, or two 32-bit ones
+    where an array has more entries than 16 bits count."""
+
+    def lanes(width: int) -> str:
+        ones = sum(1 << b for b in range(0, 64, width))
+        return ", ".join(f"aggregate({runs}, 0L, (a, r) -> a + (shiftrightunsigned(r, {b}) & {ones if ones < 1 << 63 else ones - (1 << 64)}L))" for b in range(width))
+
+    def bits(width: int) -> str:
+        most = (1 << width) - 1
+        return " | ".join(f"if(2 * (shiftrightunsigned(_lanes[{b % width}], {b // width * width}) & {most}L) > size({runs}), shiftleft(1L, {b}), 0L)" for b in range(64))
+
+    df = df.withColumn("_lanes", F.expr(f"if(size({runs}) < 65536, array({lanes(16)}), array({lanes(32)}))"))
+    return df.withColumn(name, F.expr(f"if(size(_lanes) = 16, {bits(16)}, {bits(32)})")).drop("_lanes")
 
 
 def _variants(width: int, flips: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(width), n)]
 
 
-def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 31, blocks: int = 16) -> DataFrame:
+def contaminated_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 17, blocks: int = 6) -> DataFrame:
     """(id, item, start, n_words, similarity): for each document and item the first best window at or above the similarity."""
     items = benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text_col).cast("string")).alias("iw")).where("item is not null and size(iw) > 0").distinct()
     items = items.select("item", "iw", F.size("iw").alias("n"), F.least(F.size("iw"), F.lit(k)).alias("k"))
@@ -82,22 +90,29 @@ def _matches(source: DataFrame, items: DataFrame, k: int, similarity: float, rad
     starts = seeds.groupBy("id").agg(F.collect_set(F.struct("n", "p")).alias("at"))  # bounded by the document's own length
     placed = source.join(starts, "id").select("id", runs, "at").select("id", "runs", F.explode("at").alias("at")).select("id", F.col("at.n").alias("n"), F.expr(f"greatest(0, least(at.p, size(runs) - (at.n - {k - 1})))").alias("start"), "runs")
     windows = placed.select("id", "n", "start", F.expr(f"slice(runs, start + 1, n - {k - 1})").alias("win")).dropDuplicates(["id", "n", "start", "win"])  # rows that share an id may differ
-    width = 64 // blocks
-    mask = (1 << width) - 1
-    cut = lambda c: F.array(*(F.shiftrightunsigned(c, b * width).bitwiseAND(F.lit(mask)) for b in range(blocks)))
+    cuts = [64 * b // blocks for b in range(blocks + 1)]
+    flips = radius // blocks  # of the bits of one block at least, if all differ in the radius
+    block = lambda c, b: F.shiftrightunsigned(c, cuts[b]).bitwiseAND(F.lit((1 << (cuts[b + 1] - cuts[b])) - 1))
     windows = _with_simhash(windows, "win", "wh")
-    flips = F.array(*map(F.lit, _variants(width, radius // blocks)))
     marked = _with_simhash(items, "item_runs", "ih")
-    index = marked.select("item", "n", "ih", "item_runs", F.posexplode(cut(F.col("ih"))).alias("b", "v")).select("item", "n", "ih", "item_runs", "b", F.explode(flips).alias("flip"), "v").withColumn("v", F.col("v").bitwiseXOR(F.col("flip").cast("long"))).drop("flip")
-    probes = windows.select("id", "n", "start", "win", "wh", F.posexplode(cut(F.col("wh"))).alias("b", "v"))
-    near = probes.join(index, ["n", "b", "v"]).where(F.bit_count(F.col("wh").bitwiseXOR(F.col("ih"))) <= radius)
-    near = near.dropDuplicates(["id", "n", "start", "item", "wh"])
+    near = F.array(*(F.array(*map(F.lit, _variants(cuts[b + 1] - cuts[b], flips))) for b in range(blocks)))
+    index = marked.select("item", "n", "ih", F.posexplode(F.array(*(block(F.col("ih"), b) for b in range(blocks)))).alias("b", "v"), near.alias("near"))
+    index = index.select("item", "n", "ih", "b", "v", F.explode(F.get("near", F.col("b"))).alias("flip")).select("item", "n", "ih", "b", F.col("v").bitwiseXOR(F.col("flip").cast("long")).alias("v"))
+    probes = windows.select("id", "n", "start", "win", "wh", F.posexplode(F.array(*(block(F.col("wh"), b) for b in range(blocks)))).alias("b", "v"))
+    # A pair is taken in the first of its agreeing blocks only.
+    apart = F.col("wh").bitwiseXOR(F.col("ih"))
+    first = F.array_position(F.array(*(F.bit_count(block(apart, b)) <= flips for b in range(blocks))), True) - 1
+    near = probes.join(index, ["n", "b", "v"]).where((F.bit_count(apart) <= radius) & (first == F.col("b")))
+    near = near.select("id", "n", "start", "win", "item").join(items.select("item", "n", "item_runs"), ["item", "n"])
     count = "cast(size(filter({0}, y -> y = x)) as double)"
     shared = F.expr(f"aggregate(array_intersect(win, item_runs), 0D, (a, x) -> a + least({count.format('win')}, {count.format('item_runs')}))")
     scored = near.withColumn("shared", shared).withColumn("similarity", F.expr("shared / (size(win) + size(item_runs) - shared)"))
     return scored.where(F.col("similarity") >= similarity - 1e-9).select("id", "item", "start", F.col("n").alias("n_words"), "similarity")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows with a null id stay."""
-    return docs.join(contaminated_windows(docs, benchmark, id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no benchmark item; rows with a null id stay."""
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")))
+    hit = contaminated_windows(docs.select(key.alias("key"), text_col), benchmark, "key", text_col, **options)
+    hit = hit.select(F.col("key.id").alias("_hit_id"), F.col("key.hash").alias("_hit_hash")).distinct()
+    return docs.join(hit, (F.col(id_col) == F.col("_hit_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hit_hash")), "left_anti").select(docs.columns)
