@@ -34,6 +34,7 @@ from tessera.llm._shared import Words, dropped, mixed, text_slices, written
 _BITS = 22  # of a text's place in its slice
 _WORDS = 1 << 20  # of a slice, about
 _SHARE = 1 << 19  # tokens of a bucket, about
+_TURNS = 2  # in which the buckets are dealt out, so that only a part of the tokens is in shuffle files at a time
 _STEP = np.dtype([("x", "<u4"), ("log", "<f8")])  # a token: its word and its root log10 probability
 _START = np.dtype([("p", "<f4"), ("q", "<f4"), ("gain", "<f4")])  # where hot suffixes leave a token; p and q in root's
 
@@ -261,9 +262,11 @@ _PIECES = "p int, slice long, before binary, x binary, c binary, meta binary, te
 _GAIN = pa.schema([("slice", pa.int64()), ("text", pa.binary()), ("gain", pa.binary())])
 
 
-def _pieces(t: _Tokens, slice_id: int, buckets: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """The tokens whose suffixes are not all known yet, by the hash of their shortest such suffix."""
+def _pieces(t: _Tokens, slice_id: int, buckets: int, depth: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """The tokens whose suffixes are not all known yet, by the hash of their shortest such suffix; those of a turn's
+    buckets."""
     rows = np.flatnonzero(t.size > t.level)
+    rows = rows[((t.state[rows] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) % np.uint64(_TURNS) == turn]
     rows = rows[np.argsort(t.state[rows])]
     cuts = _cuts(t.state[rows], buckets)
     for p in np.flatnonzero(np.diff(cuts)):
@@ -394,13 +397,19 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
         done = np.where(t.size > t.level, 0.0, t.gain)
         yield pa.record_batch([pa.array((row["slice"] << _BITS) + np.arange(size)), pa.array(row["ids"], pa.int64()), pa.array(t.held), pa.array(t.n + 1), pa.array(np.bincount(t.owner, t.c > 0, minlength=size).astype(np.int64)), add(np.log10(t.root)), add(done)], names=["text", "id", "held", "n_tokens", "n_known", "base", "done"])
 
-    def pieces(t: _Tokens, row: dict) -> Iterator[pa.RecordBatch]:
-        t.keep(retained)
-        yield from _pieces(t, row["slice"], buckets, depth)
+    def pieces(turn: int) -> Callable:
+        def made(t: _Tokens, row: dict) -> Iterator[pa.RecordBatch]:
+            t.keep(retained)
+            yield from _pieces(t, row["slice"], buckets, depth, turn)
+
+        return made
 
     scored = written(base.mapInArrow(_each(known(rounds), texts), "text long, id long, held boolean, n_tokens long, n_known long, base double, done double"), "scored")
-    dealt = base.mapInArrow(_each(known(rounds), pieces), _PIECES).repartition("p").sortWithinPartitions("p")
-    gains = written(dealt.mapInArrow(_gains(root, depth, prior, divergence), "slice long, text binary, gain binary"), "gains")
+    gains = None
+    for turn in range(_TURNS):
+        dealt = base.mapInArrow(_each(known(rounds), pieces(turn)), _PIECES).repartition("p").sortWithinPartitions("p")
+        part = written(dealt.mapInArrow(_gains(root, depth, prior, divergence), "slice long, text binary, gain binary"), "gains")
+        gains = part if gains is None else gains.union(part)
     dropped(base)
     gains = gains.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, "text long, gain double")
     out = scored.join(gains, "text", "left")
