@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once: as a lambda variable its expression isn't copied to where it is used."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _listed(terms: Iterable[str]) -> Column:
+    return F.array(*map(F.lit, terms))
+
+
 def contains_any(value: Column, terms: Iterable[str]) -> Column:
-    """Whether any term is a substring; a chain of ORs stays within generated code."""
-    return reduce(lambda a, b: a | b, (value.contains(t) for t in terms), F.lit(False))
+    """Whether any term is a substring. A loop over a constant list: unrolled tests of the long lists outgrow what the
+    JVM compiles."""
+    return bound(value, lambda v: F.exists(_listed(terms), lambda t: v.contains(t)))
 
 
 def ends_with_any(value: Column, terms: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, (value.endswith(t) for t in terms), F.lit(False))
+    return bound(value, lambda v: F.exists(_listed(terms), lambda t: v.endswith(t)))
 
 
 def count_contained(value: Column, terms: Iterable[str]) -> Column:
     """How many of the terms are substrings."""
-    return reduce(lambda a, b: a + b, (value.contains(t).cast("int") for t in terms), F.lit(0))
+    return bound(value, lambda v: F.size(F.filter(_listed(terms), lambda t: v.contains(t))))
 
 
 def contained(value: Column, terms: Iterable[str], prefix: str = "") -> Column:
     """The terms that are substrings, in the order of the list."""
-    found = F.array(*(F.when(value.contains(t), F.lit(prefix + t)) for t in terms))
-    return F.filter(found, lambda x: x.isNotNull())
+    found = bound(value, lambda v: F.filter(_listed(terms), lambda t: v.contains(t)))
+    return F.transform(found, lambda t: F.concat(F.lit(prefix), t)) if prefix else found
 
 
 def joined(*values: Column) -> Column:
