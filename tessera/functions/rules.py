@@ -547,3 +547,124 @@ FEE_PATTERN = r"(?i)((?:(?:Tuition|Fees?|International undergraduate|Domestic un
 MONEY_PATTERN = r"(?i)(HKD|HK\$|S\$|SGD|USD|US\$|\$)\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
 
 PROGRAMME_PATTERN = r"(?i)\b((?:Bachelor|BSc|BA|BEng|LLB|MBBS|BBA|BAcc)\s+(?:of|in)?\s*[A-Z][A-Za-z&/(),\- ]{2,90}?)(?=\s+(?:requires?|needs?|must)\b|[.;\n]|$)"
+
+#: Response headers that may be kept.
+SAFE_RESPONSE_HEADERS = (
+    "cache-control",
+    "content-length",
+    "content-type",
+    "etag",
+    "last-modified",
+    "link",
+    "x-total-count",
+)
+
+#: Content types whose bodies may be kept.
+JSON_CONTENT_TYPES = ("application/json", "application/ld+json")
+
+#: Ids of an application's root element.
+APP_ROOT_PATTERN = r"id=[\"'](?:__next|root|app|nuxt|gatsby-focus-wrapper)[\"']"
+
+FRAMEWORK_STATE_TERMS = (
+    "__next_data__",
+    "window.__nuxt__",
+    "ng-version",
+    "data-reactroot",
+    "webpackjsonp",
+    "vite/client",
+)
+
+SCRIPT_PLEA_TERMS = (
+    "enable javascript",
+    "javascript is required",
+    "you need javascript",
+)
+
+HARD_BLOCK_TERMS = (
+    "_incapsula_resource",
+    "incapsula incident id",
+    "captcha",
+    "cloudflare",
+    "access denied",
+    "verify you are human",
+    "bot detection",
+)
+
+#: Programme catalogues: sources, candidate lines and row patterns.
+CATALOG_URL_TERMS = ("programme", "program", "course", "catalog", "jupas", "study/ug")
+ADMISSIONS_LONGFORM_TERMS = ("admission-guide", "international qualifications", "tuition", "fees", "scholarship", "financial", "contact-us")
+CATALOG_LEVEL_TERMS = ("undergraduate", "bachelor", "bsc", "bba", "beng", "programme", "program", "degree", "major")
+CATALOG_GRADUATE_TERMS = ("graduate programmes", "postgraduate", "master of", "phd", "executive education")
+CATALOG_TOPIC_TERMS = ("programme", "program", "degree", "major", "undergraduate education", "undergraduate programmes")
+COURSE_TABLE_HEADERS = ("course code", "course title", "major pe courses", "pre-req", "pre req", "pre-requisite", "prerequisite", "open to")
+COURSE_CODE_PATTERN = r"\b[A-Z]{2,4}[0-9]{4}[A-Z]?\b"
+PROSE_PATTERN = r"\b(?:applicants?|curriculum|students?|graduates?|courses?|requirements?|admissions?|designed|provides?|offers?|learn|career)\b"
+LABELLED_ROW_PATTERN = r"(?i)\b(Bachelor\s+(?:of|in)\s+[A-Z][A-Za-z&/(),'+\- ]{2,120})\s+CODE\s+([A-Z0-9-]+)\s+FACULTY\s+(.+?)\s+STUDY\s+PERIOD\s+(.+?)\s+TYPE\s+(.+)$"
+AWARD_LISTING_PATTERN = r"(?i)^(.+?)\s+-\s+(B(?:A|Sc|Eng|BA|BAA|BAF|BAI|FA|SW|Des|Ed)[A-Za-z() ]*(?:\s+Scheme)?)\s+-\s+(Bachelor(?:'s)?\s+(?:of\s+)?[A-Za-z() ]+(?:\s+Scheme)?)\s+([A-Z]{2}[0-9]{4}|[0-9]{5}(?:-[A-Z]+)?)?$"
+FREE_NAME_PATTERNS = (
+    r"\b(Bachelor\s+of\s+[A-Z][A-Za-z&/(),'\- ]{2,100})",
+    r"\b(Bachelor\s+in\s+[A-Z][A-Za-z&/(),'\- ]{2,100})",
+    r"\b(BSc\s*\(Hons\)\s+Major:\s*[A-Z][A-Za-z&/(),'\- ]{2,100})",
+    r"\b(BBA\s+Major:\s*[A-Z][A-Za-z&/(),'\- ]{2,100})",
+    r"\b((?:CHS|FASS)\s+(?:Primary\s+)?Major:\s*[A-Z][A-Za-z&/(),'\- ]{2,100})",
+    r"\b(Scholars Programme)(?=\s|$|[.;,])",
+    r"\b((?:NUS\s+College|Special Programme in Science(?:\s+\(SPS\))?|Engineering Scholars Programme(?:\s+\(E-Scholars\))?))(?=\s|$|[.;,])",
+)
+NAME_TAIL_PATTERNS = (
+    r"(?i)\s+(?:CODE|FACULTY|STUDY\s+PERIOD|TYPE)\b.*$",
+    r"(?i)\s+(?:Specialisations?|Majors)\b.*$",
+    r"(?i)\s+(?:requires?|needs?|must|is offered|are offered|leads to|programmes are)\b.*$",
+    r"(?i)\s+(?:full-time|part-time|four-year|three-year|160 units?|at least).*$",
+    r"(?i)\s+within\b.*$",
+)
+DEGREE_WORDS_PATTERN = r"\b(?:bsc|ba|beng|bba|llb|mbbs)\b"
+CONTEXT_AWARD_PATTERN = r"\b(Bachelor\s+of\s+[A-Z][A-Za-z&/(),'\- ]{2,100})"
+AWARD_PATTERN = r"(?i)\b(?:Bachelor|BSc|BA|BEng|BBA|LLB|MBBS|Honours|Hons)\b"
+FACULTY_PATTERN = r"(?i)\b(?:faculty|school|college|academy|institute|department|centre|center)\b"
+SUBJECT_PATTERN = r"\b(?:accountancy|architecture|arts?|business|computing|communication|design|economics|education|engineering|humanities|law|medicine|psychology|science|sociology)\b"
+NAME_CELL_NOT = ("programme", "program", "degree", "degree title", "award", "all", "filter")
+NAME_CELL_NOT_TERMS = ("programme level", "programme type", "select a", "view all", "read more")
+CHOICE_TERMS = ("engineering", "business administration", "humanities", "common computer", "nus college")
+CHOICE_PATTERN = r"(?i)(?:admissions? choice|choice|pathway)[:\s]+([A-Z][A-Za-z&/(),'\- ]{2,80})"
+DURATION_PATTERN = r"(?i)((?:three|four|five|six|[0-9]+)[- ]year[^.;|]*|(?:at least\s+)?[0-9]{2,3}\s+units?[^.;|]*)"
+DURATION_CUT_PATTERN = r"(?i)(?:,\s*(?:full-time|part-time)|\s+(?:full-time|part-time)\b).*$"
+SPECIALISATION_PATTERN = r"(?i)(?:including|majors? including|majors?[:\s]+|specialisations?[:\s]+)([A-Z][^.]+)"
+FACULTY_HINTS = (
+    ("NUS Business School", ("business school", "school-of-business")),
+    ("School of Computing", ("school of computing", "school-of-computing")),
+    ("College of Design and Engineering", ("college of design and engineering", "design and engineering", "college-of-design-and-engineering")),
+    ("College of Humanities and Sciences", ("college of humanities and sciences", "chs.nus.edu.sg")),
+    ("Faculty of Science", ("faculty of science", "faculty-of-science")),
+)
+CATALOG_CSV_FIELDS = (
+    "university_id",
+    "university_name",
+    "programme_id",
+    "name",
+    "faculty_or_school",
+    "degree_or_award",
+    "category",
+    "mode",
+    "duration_or_units",
+    "admissions_choice_name",
+    "specialisations_or_majors",
+    "source_url",
+    "source_title",
+    "evidence_snippet",
+    "evidence_confidence",
+    "parse_status",
+    "warnings",
+    "retrieved_at",
+)
+ROW_WARNINGS = {
+    "duplicate_name": "Duplicate programme normalized key retained for manual review.",
+    "ambiguous_degree": "Programme row does not expose a stable degree or award.",
+    "missing_faculty": "Programme row does not expose a faculty or school.",
+    "category_inferred": "Programme category was inferred from row text rather than an explicit catalogue type.",
+    "raw_needs_manual_review": "Programme catalog row could not be fully normalised; review category/award context.",
+}
+API_ROW_WARNINGS = {
+    "ambiguous_degree": "API programme row does not expose a stable degree or award.",
+    "missing_faculty": "API programme row does not expose a faculty or school.",
+    "raw_needs_manual_review": "API programme row could not be fully normalised.",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import contains_any, ends_with_any
+from tessera.functions.columns import bound, contains_any, ends_with_any
 from tessera.functions.rules import (
     DISALLOWED_SOURCE_PLAN_HOST_TERMS,
     DISALLOWED_SOURCE_PLAN_PATH_TERMS,
@@ -62,6 +62,12 @@ def query_pairs(query: Column) -> Column:
     return F.transform(kept, lambda p: F.struct(_plus_decoded(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"), _plus_decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
 
 
+def query_map(url: Column) -> Column:
+    """The query as a map; of a repeated key the last value."""
+    pairs = query_pairs(part(url, 4))
+    return bound(pairs, lambda all_: F.map_from_entries(F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["k"] == p["k"]))))
+
+
 def encoded_query(pairs: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
