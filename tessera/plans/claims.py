@@ -219,17 +219,10 @@ def source_status_labels(spark, sf_dir):
 # Catalogues, paging, traversal ----------------------------------------------------------------------------------------
 
 
-@query(f"SELECT p_partkey, 'Bachelor of ' || p_name AS name, 'Bachelor of ' || p_name || ' (Honours)' AS award, {case('p_size', text('full-time'), text('part-time'))} AS mode, p_size || ' units' AS duration, 'Faculty of ' || p_type AS faculty, 'degree' AS category FROM part")
-def catalog_rows(spark, sf_dir):
-    d = table(spark, sf_dir, "part").selectExpr("p_partkey", f"'Bachelor of ' || p_name || ' | Bachelor of ' || p_name || ' (Honours) | ' || {case('p_size', text('full-time'), text('part-time'))} || ' | ' || p_size || ' units | | Faculty of ' || p_type AS line")
-    r = K.parsed_row(F.col("line"))
-    return d.select("p_partkey", *(r[c].alias(c) for c in ("name", "award", "mode", "duration", "faculty", "category")))
-
-
 @query("SELECT p_partkey, CAST(row_number() OVER (PARTITION BY lower(p_name), p_brand ORDER BY p_partkey) AS INT) AS duplicate_index FROM part")
 def catalog_duplicates(spark, sf_dir):
     d = table(spark, sf_dir, "part").selectExpr("p_partkey", "upper(p_name) || ' ' AS name", "p_brand AS award", "cast(null as string) AS faculty", "cast(null as string) AS source_url")
-    return K.duplicate_rank(d, ["p_partkey"]).select("p_partkey", "duplicate_index")
+    return K.duplicate_rank(d, [], ["p_partkey"], award="award", faculty="faculty").select("p_partkey", "duplicate_index")
 
 
 @query("SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_type), (p_brand), ())")
@@ -237,13 +230,6 @@ def catalog_summary(spark, sf_dir):
     return table(spark, sf_dir, "part").groupingSets([["p_type"], ["p_brand"], []], "p_type", "p_brand").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_suppkey AS scan_id, printf('programme-catalog-%03d', row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, 'row ' || l_partkey)) AS row_id, 'row ' || l_partkey AS name, s_name AS source_title FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) AS s ON l_suppkey = s_suppkey")
-def catalog_csv_projection(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS scan_id", "l_orderkey * 10 + l_linenumber AS position", "'row ' || l_partkey AS name", "l_suppkey AS source_url")
-    sources = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").selectExpr("s_suppkey AS source_url", "s_name AS source_title")
-    return K.csv_rows(rows, sources)
-
-
 @query("SELECT p_partkey AS endpoint, unnest(range(1, 1 + greatest(1, least(CAST(ceil(p_size / 4.0) AS INT), 5)))) AS page, CASE WHEN ceil(p_size / 4.0) > 5 THEN 'budget' ELSE 'complete' END AS stop FROM part".replace("unnest(range(", "CAST(unnest(range(").replace(", 5)))) AS page", ", 5)))) AS INT) AS page"))
 def pagination_walk(spark, sf_dir):
     return C.pages_walked(table(spark, sf_dir, "part").selectExpr("p_partkey AS endpoint", "p_size AS total", "4 AS size"))
