@@ -668,3 +668,56 @@ API_ROW_WARNINGS = {
     "missing_faculty": "API programme row does not expose a faculty or school.",
     "raw_needs_manual_review": "API programme row could not be fully normalised.",
 }
+
+#: JSON catalogues: key aliases and terms.
+API_NAME_KEYS = ("name", "title", "programme", "program", "programmeName", "programName", "courseTitle", "degreeTitle")
+API_DEGREE_KEYS = ("degree", "award", "qualification", "degreeTitle", "awardName", "degree_or_award")
+API_FACULTY_KEYS = ("faculty", "school", "college", "department", "schoolName", "facultyOrSchool", "faculty_or_school")
+API_MODE_KEYS = ("mode", "studyMode", "attendance", "fullTimePartTime")
+API_DURATION_KEYS = ("duration", "studyPeriod", "durationOrUnits", "units", "credits")
+API_CHOICE_KEYS = ("choice", "admissionChoice", "admissionsChoice", "jupasCode", "applicationCode", "code")
+API_SPECIALISATION_KEYS = ("specialisations", "specializations", "majors", "specialisationsOrMajors", "specializationsOrMajors")
+API_FILTER_METADATA_KEYS = ("level", "programmetype", "studytype", "studymode", "mode", "faculty", "school", "college", "department", "degree", "award", "category")
+API_FILTER_CONTAINERS = ("filters", "facets", "filteroptions", "filtermetadata", "searchfilters")
+API_TOTAL_KEYS = ("total", "count", "totalcount", "recordstotal")
+API_NOT_NAMES = ("all", "any", "undergraduate", "programme", "program", "degree", "filter", "search")
+API_NOT_NAME_TERMS = ("select ", "view all", "read more", "find out", "apply now")
+API_NAVIGATION_NAMES = ("full-time", "part-time", "undergraduate", "postgraduate", "degree programme")
+API_NAVIGATION_TERMS = ("filteroption", "filter option", "navigation", "breadcrumb", "facet")
+API_SIGNAL_PATTERN = r"\b(?:undergraduate|bachelor|bsc|ba|beng|bba|llb|mbbs|degree|major|minor|programme|program|course)\b"
+API_VOCABULARY_PATTERN = r"\b(?:undergraduate|bachelor|bsc|ba|beng|bba|llb|mbbs|degree|programme|program|major|minor|faculty|school)\b"
+API_NAME_TAIL_PATTERN = r"(?i)\s+(?:requires?|needs?|must|is offered|are offered|leads to)\b.*$"
+API_AWARD_PATTERN = r"(?i)\b(?:Bachelor|BSc|BA|BEng|BBA|LLB|MBBS)\b"
+API_DEGREE_PATTERN = r"\b(?:bachelor|bsc|ba|beng|bba|llb|mbbs|degree)\b"
+
+#: Claims in JSON answers: fields with their key aliases.
+API_CLAIM_KEYS = {
+    "programmes": ("programme", "program", "programName", "programmeName", "title", "name"),
+    "application_periods": ("deadline", "applicationDeadline", "closingDate", "closing_date", "applyBy", "apply_by"),
+    "fees": ("fee", "fees", "tuition", "tuitionFee", "tuition_fee"),
+    "required_documents": ("requiredDocuments", "required_documents", "documents", "document"),
+}
+API_PROGRAMME_PATTERN = r"(?i)\b(?:Bachelor|BSc|BA|BEng|LLB|MBBS|Programme|Program|Major)\b"
+
+#: Filters of catalogue endpoints.
+FILTER_DIMENSIONS = {
+    "level": ("level", "studylevel", "programmelevel", "programlevel"),
+    "programme_type": ("programmetype", "programtype", "programmetypes", "programtypes", "type", "awardtype"),
+    "study_mode": ("studymode", "mode", "attendance", "attendancepattern"),
+    "faculty_or_school": ("faculty", "facultyid", "facultycode", "school", "schoolid", "schoolcode", "college", "department"),
+}
+FILTER_QUERY_KEYS = {"level": "level", "programme_type": "programmeType", "study_mode": "studyMode", "faculty_or_school": "faculty"}
+FILTER_CONTAINERS = ("facet", "facets", "filter", "filters", "filteroption", "filteroptions", "searchfacet", "searchfacets", "searchfilter", "searchfilters")
+FILTER_TARGETS = {
+    "level": ("undergraduate", "undergrad", "ug"),
+    "programme_type": ("degree", "degreeprogramme", "degreeprogram", "bachelor", "undergraduatedegree"),
+    "study_mode": ("fulltime", "full-time", "full time"),
+}
+
+#: Catalogue pages whose rows a script would load.
+DYNAMIC_FILTER_TERMS = ("programme level", "programme type", "study mode", "full-time", "part-time", "filter", "all")
+DYNAMIC_LEVEL_TERMS = ("undergraduate", "programme", "program", "degree")
+DYNAMIC_ROW_PATTERNS = (
+    r"(?i)\bprogramme\s*\|\s*(?:degree|award|title)\b",
+    r"(?i)\b(?:Bachelor\s+of|Bachelor\s+in|BSc|BA|BEng|BBA|LLB|MBBS)\b.{0,80}\b(?:degree|honours|hons|faculty|school)\b",
+)

@@ -135,13 +135,41 @@ def has_sensitive_query(url: Column) -> Column:
     return F.exists(query_pairs(part(url, 4)), lambda p: _plain_key(p["k"]).isin(*SENSITIVE_QUERY_KEYS))
 
 
-def with_query_value(url: Column, key: str, value: Column) -> Column:
-    """The value of ``key`` replaced, or the pair appended."""
+def _with_query(url: Column, pairs: Column) -> Column:
+    return F.concat(part(url, 1), F.lit("://"), part(url, 2), part(url, 3), F.lit("?"), encoded_query(pairs))
+
+
+def with_query_value(url: Column, key: Column | str, value: Column) -> Column:
+    """Every value of ``key`` replaced, or the pair appended."""
+    pairs, key = query_pairs(part(url, 4)), F.lit(key) if isinstance(key, str) else key
+    new = F.struct(key.alias("k"), value.cast("string").alias("v"))
+    edited = F.when(F.exists(pairs, lambda p: p["k"] == key), F.transform(pairs, lambda p: F.when(p["k"] == key, new).otherwise(p))).otherwise(F.concat(pairs, F.array(new)))
+    return _with_query(url, edited)
+
+
+def with_query_pairs(url: Column, values: Column) -> Column:
+    """Pairs (k, v) of distinct keys: the first value of each key replaced, the other pairs appended."""
     pairs = query_pairs(part(url, 4))
-    has = F.exists(pairs, lambda p: p["k"] == key)
-    new = F.struct(F.lit(key).alias("k"), value.cast("string").alias("v"))
-    edited = F.when(has, F.transform(pairs, lambda p: F.when(p["k"] == key, new).otherwise(p))).otherwise(F.concat(pairs, F.array(new)))
-    return F.concat(part(url, 1), F.lit("://"), part(url, 2), part(url, 3), F.lit("?"), encoded_query(edited))
+    taken = lambda k: F.exists(pairs, lambda p: p["k"] == k)
+    first = lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda e: e["k"] == p["k"])
+    edited = F.transform(pairs, lambda p, i: F.coalesce(F.when(first(p, i), F.get(F.filter(values, lambda v: v["k"] == p["k"]), 0)), p))
+    return _with_query(url, F.concat(edited, F.filter(values, lambda v: ~taken(v["k"]))))
+
+
+def query_key(url: Column, *keys: str) -> Column:
+    """The first key of the query whose plain form is one of these, as it is written."""
+    return F.get(F.filter(query_pairs(part(url, 4)), lambda p: _plain_key(p["k"]).isin(*keys)), 0)["k"]
+
+
+def same_query_key(url: Column, key: Column) -> Column:
+    """The first key of the query with the plain form of ``key``."""
+    return F.get(F.filter(query_pairs(part(url, 4)), lambda p: _plain_key(p["k"]) == _plain_key(key)), 0)["k"]
+
+
+def first_int(url: Column, key: Column) -> Column:
+    """The first value of exactly this key, if it is a whole number."""
+    value = F.get(F.filter(query_pairs(part(url, 4)), lambda p: p["k"] == key), 0)["v"]
+    return F.when(value.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(value).try_cast("long"))
 
 
 def int_query_value(url: Column, *keys: str) -> Column:

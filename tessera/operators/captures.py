@@ -115,24 +115,12 @@ def first_candidates(candidates: DataFrame, seen: DataFrame, most: int = 50) ->
     return first.withColumn("rank", F.row_number().over(budget)).where(F.col("rank") <= most)
 
 
-def body_profile(body: Column) -> Column:
-    """struct<total, items, first_keys> of a JSON catalogue answer; nulls where it isn't one."""
-    items = F.from_json(F.get_json_object(body, "$.items"), "array<string>")
-    return F.struct(F.get_json_object(body, "$.total").try_cast("long").alias("total"), F.when(items.isNotNull(), F.size(items)).alias("items"), F.array_join(F.array_sort(F.json_object_keys(F.get(items, 0))), ",").alias("first_keys"))
-
-
 def capture_status(candidates: DataFrame, captures: DataFrame) -> DataFrame:
     c = captures.select("url", "status", F.col("rows").alias("_rows"))
     state = F.when(F.col("status").isNull(), "not_captured").when(F.col("status") >= 400, "failed").when(F.col("_rows") > 0, "rows").otherwise("empty")
     return candidates.join(c, "url", "left").groupBy(state.alias("state")).agg(F.count("*").alias("candidates"))
 
 
-def filter_requests(core: DataFrame, extra: DataFrame, most: int) -> DataFrame:
-    """Bounded combinations of filter values of one endpoint, in order: both inputs are an endpoint's short option lists."""
-    w = Window.partitionBy("endpoint").orderBy("core", "extra")
-    return core.join(extra, "endpoint").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-
-
 def unknown_keys(body: Column, allowed: tuple[str, ...]) -> Column:
     """Keys of a JSON object beyond the allowed ones, sorted."""
     return F.array_join(F.array_sort(F.array_except(F.json_object_keys(body), F.array(*map(F.lit, allowed)))), ",")

@@ -89,23 +89,6 @@ def api_candidates_first(spark, sf_dir):
     return P.first_candidates(c, c.where("url % 4 = 0")).select("scan_id", "url", "origin_order", "rank")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN NULL ELSE CAST(p_size AS BIGINT) END AS total, CASE WHEN p_size % 4 = 3 THEN NULL ELSE 2 END AS items, CASE WHEN p_size % 4 = 3 THEN NULL ELSE 'degree,name' END AS first_keys FROM part")
-def api_body_profile(spark, sf_dir):
-    d = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 4 == 3, F.lit("not json")).otherwise(F.to_json(F.struct(F.col("p_size").alias("total"), F.array(*(F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("degree")) for _ in range(2))).alias("items")))).alias("body"))
-    x = P.body_profile(F.col("body"))
-    return d.select("p_partkey", *(x[c].alias(c) for c in ("total", "items")), F.when(x["items"].isNotNull(), x["first_keys"]).alias("first_keys"))
-
-
-@query("SELECT p_partkey, p_name AS name, p_brand AS fee, CAST(p_size AS BIGINT) AS position FROM part UNION ALL SELECT p_partkey, p_type, NULL, CAST(p_size + 1 AS BIGINT) FROM part WHERE p_size % 2 = 0")
-def api_claims(spark, sf_dir):
-    item = lambda name, fee, pos: F.struct(F.col(name).alias("programmeName"), fee.alias("tuitionFee"), pos.alias("position"))
-    null = F.lit(None).cast("string")
-    items = F.when(F.col("p_size") % 2 == 0, F.array(item("p_name", F.col("p_brand"), F.col("p_size")), item("p_type", null, F.col("p_size") + 1))).otherwise(F.array(item("p_name", F.col("p_brand"), F.col("p_size"))))
-    d = table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(items.alias("items"))).alias("body"))
-    rows = d.select("p_partkey", F.inline(F.from_json("body", "items array<struct<programmeName string, tuitionFee string, position long>>")["items"]))
-    return rows.selectExpr("p_partkey", "programmeName AS name", "tuitionFee AS fee", "position")
-
-
 @query("SELECT state, count(*) AS candidates FROM (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'not_captured' WHEN p_partkey % 5 = 0 THEN 'failed' WHEN p_size > 20 THEN 'rows' ELSE 'empty' END AS state FROM part) GROUP BY state")
 def api_capture_status(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -113,13 +96,6 @@ def api_capture_status(spark, sf_dir):
     return P.capture_status(p.selectExpr("p_partkey AS url"), captures)
 
 
-@query("SELECT endpoint, core, extra, CAST(rank AS INT) AS rank FROM (SELECT r_regionkey AS endpoint, r_name AS core, n_name AS extra, row_number() OVER (PARTITION BY r_regionkey ORDER BY r_name, n_name) AS rank FROM region JOIN nation ON r_regionkey = n_regionkey) WHERE rank <= 3")
-def filter_plan(spark, sf_dir):
-    core = table(spark, sf_dir, "region").selectExpr("r_regionkey AS endpoint", "r_name AS core")
-    extra = table(spark, sf_dir, "nation").selectExpr("n_regionkey AS endpoint", "n_name AS extra")
-    return P.filter_requests(core, extra, 3).select("endpoint", "core", "extra", "rank")
-
-
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'extra' ELSE '' END AS unknown FROM events")
 def payload_keys(spark, sf_dir):
     d = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit('{"extra": 1, "k": 2}')).otherwise(F.col("props")).alias("body"))

@@ -230,11 +230,6 @@ def catalog_summary(spark, sf_dir):
     return table(spark, sf_dir, "part").groupingSets([["p_type"], ["p_brand"], []], "p_type", "p_brand").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS endpoint, unnest(range(1, 1 + greatest(1, least(CAST(ceil(p_size / 4.0) AS INT), 5)))) AS page, CASE WHEN ceil(p_size / 4.0) > 5 THEN 'budget' ELSE 'complete' END AS stop FROM part".replace("unnest(range(", "CAST(unnest(range(").replace(", 5)))) AS page", ", 5)))) AS INT) AS page"))
-def pagination_walk(spark, sf_dir):
-    return C.pages_walked(table(spark, sf_dir, "part").selectExpr("p_partkey AS endpoint", "p_size AS total", "4 AS size"))
-
-
 _EDGE = "(SELECT o_orderkey % 500 AS a, (o_orderkey * 7 + 3) % 500 AS b FROM orders UNION SELECT o_custkey % 500, o_orderkey % 500 FROM orders WHERE o_orderkey % 9 = 0)"
 
 
