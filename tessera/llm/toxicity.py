@@ -11,7 +11,7 @@ id; each category uses the columns whose presence tells its classes apart (log-l
 
 Defined cases: null, empty and white-space texts have no features and get the chain's intercepts, which rejects none
 (they hold nothing toxic) by rule; null labels are left out of that category's fit; a category with one class gets
-that class's rate; ids that repeat among labels use each row; an empty label table gives probability 0; other columns
+that class's rate; ids that repeat among labels use each row, ids that repeat among documents the least text; an empty label table gives probability 0; other columns
 are kept as they are in ``score`` (names that clash with the added ones are replaced).
 """
 
@@ -38,7 +38,7 @@ class Chain:
     bits: int
     categories: tuple[str, ...]
     weights: list[np.ndarray]  # of each category: 2**bits columns
-    links: list[np.ndarray]  # of each category: intercept, then the earlier categories' log-odds
+    links: list[np.ndarray]  # of each category: intercept, then the earlier categories' probabilities
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +66,10 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
 def _telling(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, least: float) -> np.ndarray:
     """Columns whose presence goes with the class: signed log-likelihood ratio (G) of their 2 x 2 counts, or 0."""
     pos, n = y.sum(), len(y)
@@ -82,17 +86,17 @@ def _telling(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, l
 def _logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, l2: float, evidence: float, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the columns and of (1, extra) for class-balanced logistic loss; full-batch Adam, so deterministic."""
     use = np.flatnonzero(_telling(rows, columns, y, width, evidence))
-    place = np.full(width, -1)
+    place = np.full(width, -1, dtype=np.int32)
     place[use] = np.arange(len(use))
     keep = place[columns] >= 0
-    r, c = rows[keep], place[columns[keep]]
+    r, c = rows[keep].astype(np.intp), place[columns[keep]].astype(np.intp)
     w, v = np.zeros(len(use)), np.zeros(1 + extra.shape[1])
     x = np.column_stack((np.ones(n), extra))
     share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
     first, second = [np.zeros(len(w)), np.zeros(len(v))], [np.zeros(len(w)), np.zeros(len(v))]
     for t in range(1, steps + 1):
         z = np.bincount(r, w[c], minlength=n) + x @ v
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        g = share * (_probability(z) - y)
         for k, (p, grad) in enumerate(((w, np.bincount(c, g[r], minlength=len(w)) + l2 * w), (v, x.T @ g + np.concatenate(([0], l2 * v[1:]))))):
             first[k] += 0.1 * (grad - first[k])
             second[k] += 0.01 * (grad**2 - second[k])
@@ -109,17 +113,20 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str
     rows = labels.where(F.col(id_col).isNotNull()).select(F.crc32(F.col(id_col).cast("string")).alias("_h"), F.col(id_col).alias("_id"), *ys)
     picked = rows.orderBy("_h", "_id", *named).limit(sample_rows)  # at most sample_rows rows, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    pdf = texts.join(F.broadcast(picked), "_id").select("_h", "_id", "text", *named).toArrow().sort_by([("_h", "ascending"), ("_id", "ascending"), ("text", "ascending"), *((y, "ascending") for y in named)])
+    # One text, the least, of an id that several documents have: no more texts than label rows reach the driver.
+    one = texts.join(F.broadcast(picked.select("_id").distinct()), "_id").groupBy("_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    pdf = one.join(F.broadcast(picked), "_id").select("_h", "_id", "text", *named).toArrow().sort_by([("_h", "ascending"), ("_id", "ascending"), *((y, "ascending") for y in named)])
     n, width = pdf.num_rows, 1 << bits
     rows, columns, done = [], [], 0
     for batch in pdf.combine_chunks().to_batches():
         for part, data, offsets in text_slices(batch):
             r, c = features(data, offsets, bits)
-            rows.append(r + done)
-            columns.append(c)
+            rows.append((r + done).astype(np.int32))
+            columns.append(c.astype(np.int32))
             done += part.num_rows
-    r = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-    c = np.concatenate(columns) if columns else np.zeros(0, dtype=np.int64)
+    r = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+    c = np.concatenate(columns) if columns else np.zeros(0, dtype=np.int32)
+    del rows, columns
     fold = np.arange(n) % folds
     earlier = np.zeros((n, 0))
     chain = Chain(bits, tuple(name for name, _ in categories), [], [])
@@ -143,7 +150,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str
         w, v = fitted(known)
         chain.weights.append(w)
         chain.links.append(v)
-        earlier = np.column_stack((earlier, np.clip(out_of_fold, -6, 6)))
+        earlier = np.column_stack((earlier, _probability(out_of_fold)))
     return chain
 
 
@@ -151,11 +158,9 @@ def _scores(chain: Chain, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Probability of each category for each text."""
     n = len(offsets) - 1
     r, c = features(data, offsets, chain.bits)
-    odds = np.zeros((n, 0))
+    out = np.zeros((n, 0))
     for w, v in zip(chain.weights, chain.links, strict=True):
-        z = np.bincount(r, w[c], minlength=n) + v[0] + np.clip(odds, -6, 6) @ v[1:]
-        odds = np.column_stack((odds, z))
-    out = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        out = np.column_stack((out, _probability(np.bincount(r, w[c], minlength=n) + v[0] + out @ v[1:])))
     out[np.bincount(r, minlength=n) == 0] = 0.0  # a text without a word holds nothing toxic
     return out
 
