@@ -113,7 +113,7 @@ def _bitmap(runs: np.ndarray, longs: int) -> np.ndarray:
 
 
 def _runs(k: int):
-    """Of each text its labelled runs and the bitmaps of them."""
+    """Of each text its labelled runs, their bitmaps, and how many more runs there are than bits in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +121,12 @@ def _runs(k: int):
                 words = Words(data, offsets)
                 h = words.hashes()
                 found = [_labelled(h[words.first[d] : words.first[d + 1]], k) for d in range(len(rows))]
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_bitmap(r, size) for r in found])), size).cast(pa.list_(pa.int64())) for size in (FOLDED, BITMAP)]
-                yield pa.record_batch([rows.column(0), pa.array([len(r) for r in found], pa.int32()), pa.array([r.tobytes() for r in found], pa.binary()), *lists], names=["node", "n", "runs", "fold", "bits"])
+                cells = [rows.column(0), pa.array([len(r) for r in found], pa.int32()), pa.array([r.tobytes() for r in found], pa.binary())]
+                for size in (FOLDED, BITMAP):
+                    maps = np.stack([_bitmap(r, size) for r in found])
+                    spare = np.array([len(r) for r in found]) - np.bitwise_count(maps.view(np.uint64)).sum(axis=1)
+                    cells += [pa.FixedSizeListArray.from_arrays(pa.array(maps.reshape(-1)), size).cast(pa.list_(pa.int64())), pa.array(spare, pa.int32())]
+                yield pa.record_batch(cells, names=["node", "n", "runs", "fold", "fold_spare", "bits", "bits_spare"])
 
     return run
 
@@ -214,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = written(classes.join(keyed.select("node").distinct(), "node").select("node", "row.id", "row.t"), "picked")
     # Always a merge join: what is picked grows with the texts.
     texts = source.join(picked.hint("merge"), ["id", "t"]).groupBy("id", "t", "node").agg(F.first("text").alias("text")).select("node", "text")
-    runs = written(texts.mapInArrow(_runs(k), "node long, n int, runs binary, fold array<long>, bits array<long>"), "runs")
+    runs = written(texts.mapInArrow(_runs(k), "node long, n int, runs binary, fold array<long>, fold_spare int, bits array<long>, bits_spare int"), "runs")
     dropped(picked)
 
     # Each text against the hub of its buckets that shares most of them.
@@ -242,22 +246,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = tested.union(more)
 
     # All other pairs of different components. One text of each is outside of the bucket's largest component.
-    rows = placed().select("key", "node", "part", "main").join(runs.select("node", "n", "fold", "bits"), "node")
+    rows = placed().select("key", "node", "part", "main").join(runs.drop("runs"), "node")
     rows = written(rows, "open")
     tables.append(rows)
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
-    both = F.col("x.n") + F.col("y.n")
 
-    def possible(shared: Column, count: str) -> Column:
-        """Whether so many shared bits allow the similarity."""
-        of = lambda side: F.col(f"{side}.n") - F.expr(f"aggregate({side}.{count}, 0, (s, v) -> s + bit_count(v))") + shared
-        most = F.least(of("x"), of("y"))
-        return most >= similarity * (both - most) - 1e-9
+    def possible(shared: Column, spare: str) -> Column:
+        """Whether so many shared bits allow the similarity: each run that is shared has one, or is spare in both."""
+        most = shared + F.least(f"x.{spare}", f"y.{spare}")
+        return (1 + similarity) * most >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-9
 
-    folded = sum((F.bit_count(F.col("x.fold")[i].bitwiseAND(F.col("y.fold")[i])) for i in range(1, FOLDED)), F.bit_count(F.col("x.fold")[0].bitwiseAND(F.col("y.fold")[0])))
+    folded = F.expr(" + ".join(f"bit_count(x.fold[{i}] & y.fold[{i}])" for i in range(FOLDED)))
     whole = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p & q)), 0, (s, v) -> s + v)")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike(F.col("x.n"), F.col("y.n")) & possible(folded, "fold") & possible(whole, "bits"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike(F.col("x.n"), F.col("y.n")) & possible(folded, "fold_spare") & possible(whole, "bits_spare"))
     more = _verify(fresh(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))), runs, similarity)
     tables.append(more)
     parts = connected_components(tested.union(more).where("linked").select("a", "b"))
