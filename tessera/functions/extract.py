@@ -124,11 +124,3 @@ def contact_snippet(text: Column, value: Column) -> Column:
 def keyword_sentence(text: Column, words: str) -> Column:
     """From a keyword to the next full stop."""
     return nullif_empty(collapsed(F.regexp_extract(text, rf"(?i)((?:{words})[^.]*\.)", 1)))
-
-
-def english_score(text: Column, test: str) -> Column:
-    """Overall score of an English test by the usual phrasings, else null."""
-    number, name = r"([0-9]{1,4}(?:\.[0-9])?)", test.split()[0]
-    lead = r"(?:minimum overall(?: score)? of|minimum overall|overall band of|overall score of|overall of|overall|minimum of|at least|minimum)"
-    patterns = (rf"(?i){lead}\s+{number}\s*(?:in|for)?\s*(?:the\s+)?{name}\b", rf"(?i)\b{name}\b[^.;|]{{0,120}}?{lead}\s*{number}", rf"(?i)\b{name}\b\s*{number}\s*(?:overall|minimum|score|band)?")
-    return F.coalesce(*(_cut(text, p, 1) for p in patterns)).try_cast("double")

@@ -721,3 +721,66 @@ DYNAMIC_ROW_PATTERNS = (
     r"(?i)\bprogramme\s*\|\s*(?:degree|award|title)\b",
     r"(?i)\b(?:Bachelor\s+of|Bachelor\s+in|BSc|BA|BEng|BBA|LLB|MBBS)\b.{0,80}\b(?:degree|honours|hons|faculty|school)\b",
 )
+
+#: English requirements: triggers, tests, and how scores are phrased ({t} is a test's first word, {q} a qualifier and {n}
+#: a number).
+ENGLISH_TRIGGER_PATTERN = r"\b(?:english language requirements?|english proficiency|english language proficiency|ielts|toefl|pte academic|hkdse english|hk dse english|cambridge c1|cambridge c2|c1 advanced|c2 proficiency)\b"
+ENGLISH_TESTS = (
+    ("IELTS", r"\bIELTS\b"),
+    ("TOEFL iBT", r"\bTOEFL(?:\s+iBT)?\b"),
+    ("PTE Academic", r"\bPTE\s+Academic\b|\bPTE\b"),
+    ("HKDSE English", r"\bHKDSE\s+English\b|\bHK\s*DSE\s+English\b"),
+    ("Cambridge English", r"\bCambridge\b|\bC1\s+Advanced\b|\bC2\s+Proficiency\b|\bCAE\b"),
+    ("SAT", r"\bSAT\b"),
+    ("ACT", r"\bACT\b"),
+    ("MUET", r"\bMUET\b"),
+)
+ENGLISH_MENTION_PATTERN = r"\b(?:IELTS|TOEFL(?:\s+iBT)?|PTE\s+Academic|SAT|ACT|MUET|C1\s+Advanced|C2\s+Proficiency|Cambridge English Advanced|CAE)\b"
+ENGLISH_NUMBER = r"([0-9]{1,4}(?:\.[0-9])?)"
+ENGLISH_QUALIFIER = r"(?:overall\s+band\s+of|overall\s+score\s+of|overall\s+of|overall|minimum\s+of\s+overall|minimum\s+overall\s+score\s+of|minimum\s+overall\s+of|minimum\s+overall|minimum\s+of\s+composite\s+score\s+of|minimum\s+composite\s+score\s+of|composite\s+score\s+of|minimum\s+of|at\s+least|minimum)"
+ENGLISH_SCORE_PATTERNS = (
+    r"{q}\s+{n}\s*(?:in|for)?\s*(?:the\s+)?{t}\b",
+    r"{q}\s+{n}\b[^;|]{0,100}?{t}\b",
+    r"(?:at\s+least|minimum(?:\s+of)?)\s+{n}\s+(?:overall|score)",
+    r"{t}\b[^.;|]{0,120}?{q}\s*{n}",
+    r"{t}\b\s*{n}\s*(?:overall|minimum|score|band)?",
+    r"{t}\b\s*\([^)]*?(?:overall|minimum(?:\s+of)?|at\s+least|composite\s+score\s+of)\s*{n}",
+)
+ENGLISH_COMPONENTS = ("writing", "speaking", "reading", "listening", "verbal")
+ENGLISH_COMPONENT_PATTERN = r"\b{c}\s*(?:score\s*)?(?:of\s*)?([0-9]{1,4}(?:\.[0-9])?|[A-E][0-9]?)\b"
+ENGLISH_SUBTEST_PATTERN = r"\b(?:no\s+)?(?:subtest|component)\s+(?:below|less\s+than|under|at\s+least)\s*([0-9]{1,4}(?:\.[0-9])?)"
+ENGLISH_SCORE_TERMS = ("at least", "minimum", "overall", "score", "band", "writing", "speaking", "reading", "listening", "verbal")
+ENGLISH_EXEMPTION_TERMS = ("exempt", "exemption", "waiver", "waived")
+ENGLISH_EXEMPTION_SUBJECTS = ("english", "ielts", "toefl", "pte", "medium of instruction")
+ENGLISH_HARD_FALSE_TERMS = ("english language centre", "english and applied linguistics", "quick links", "current students", "summer programme website")
+ENGLISH_SAFE_TEXT = r"(?:[0-9]\.[0-9]|[^.\n])"
+ENGLISH_SNIPPET_PATTERNS = (
+    r"(?:English language requirements?|English proficiency|English language proficiency){s}{0,260}(?:IELTS|TOEFL|PTE|HKDSE|HK DSE|Cambridge|minimum|required|requirement|qualification|exempt|waiver){s}{0,260}\.?",
+    r"(?:IELTS|TOEFL|PTE Academic|HKDSE English|HK DSE English|C1 Advanced|C2 Proficiency|Cambridge C1|Cambridge C2){s}{0,220}(?:[0-9]{1,3}(?:\.[0-9])?|minimum|required|requirement|qualification|exempt|waiver){s}{0,220}\.?",
+)
+QUALIFICATION_PATTERNS = (
+    r"(?i)((?:Accepted qualifications?|Qualifications? accepted)[^.]*\.)",
+    r"(?i)((?:A-level|IB Diploma|International Baccalaureate)[^.]*accepted[^.]*\.)",
+)
+
+#: Paths that a suggested fact may fill, and the terms of programme catalogues around them.
+SUGGESTED_CLAIM_PATHS = (
+    "admissions.application_period",
+    "admissions.application_deadline",
+    "admissions.application_entry",
+    "admissions.requirements.academic",
+    "admissions.requirements.english",
+    "admissions.required_documents",
+    "admissions.fees",
+    "admissions.scholarships",
+    "admissions.contact",
+    "programme_catalog[].name",
+    "programme_catalog[].degree",
+    "programme_catalog[].faculty_or_school",
+    "programme_catalog[].duration",
+    "programme_catalog[].entry_requirements",
+    "programme_catalog[].source_url",
+)
+SUGGESTED_CONFIDENCE = 0.2
+CATALOG_CONTEXT_NOT = ("postgraduate", "graduate research", "phd", "master of")
+CATALOG_CONTEXT = ("undergraduate programme", "undergraduate program", "bachelor", "degree programme", "degree program", "major", "minor", "catalogue", "catalog")

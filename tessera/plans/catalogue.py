@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import catalogue as K
 from tessera.operators import json_bodies as J
-from tessera.plans.base import query, table, text
+from tessera.plans.base import query, table, values
 
 #: Pages by kind: address, title, text.
 _PAGES = (
@@ -42,12 +42,6 @@ _NAMES = "kind, pos, name, faculty_or_school, degree_or_award, category, mode, d
 _KINDS = len(_PAGES)
 
 
-def values(rows, names: str) -> str:
-    """A table of literals; valid in both engines."""
-    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else text(v)
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names}))"
-
-
 def pages(spark, sf_dir):
     """A page for each part, ten to a scan."""
     kinds = spark.createDataFrame([(i, *p) for i, p in enumerate(_PAGES)], "kind int, url string, title string, text string")

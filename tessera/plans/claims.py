@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import english as N
 from tessera.functions import extract as X
 from tessera.functions import text as T
+from tessera.functions import urls as U
 from tessera.operators import catalogue as K
 from tessera.operators import crawl as C
 from tessera.operators import diagnostics as D
 from tessera.operators import evidence as E
 from tessera.operators import incremental as I
-from tessera.plans.base import case, query, table, text
+from tessera.plans.base import case, query, table, text, values
 
 _DAY = "strftime({}, '%-d %B %Y')"
 
@@ -59,11 +61,44 @@ def fee_extract(spark, sf_dir):
     return d.select("o_orderkey", X.fee_snippet(F.col("body")).alias("snippet"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN NULL ELSE CAST(p_size % 9 + 1 AS DOUBLE) + 0.5 END AS ielts, CASE WHEN p_size % 3 = 2 THEN CAST(80 + p_size % 30 AS DOUBLE) END AS toefl FROM part")
+#: Requirements by kind: text, then test, overall score and components of each score that is read.
+_ENGLISH = (
+    ("English language requirements: an overall band of 7 in the IELTS, with no subtest below 6.5.", (("IELTS", "7", "minimum_component=6.5"),)),
+    ("IELTS minimum 6.0 overall; TOEFL iBT (minimum of 90), writing 25 or PTE Academic at least 55. Fees apply.", (("IELTS", "6.0", ""), ("TOEFL iBT", "90", "writing=25"), ("PTE Academic", "55", ""))),
+    ("English and Applied Linguistics - BA (Hons) Bachelor of Science. Select a Programme Quick Links. IELTS 6.5 overall", ()),
+    ("Applicants may submit IELTS or TOEFL results.", ()),
+    ("English proficiency: applicants whose medium of instruction was English are exempt.", ((None, None, ""),)),
+    ("IELTS: waived for speakers of English.", ((None, None, ""),)),
+    ("Scores of tests such as C1 Advanced with grade B and IELTS of at least 6.5 for each component", (("IELTS", "6.5", ""),)),
+    ("No requirement here.", ()),
+)
+_TESTS = [(i, *t) for i, (_, tests) in enumerate(_ENGLISH) for t in tests]
+
+
+@query(f"SELECT p_partkey, test_name, overall_score, components FROM part JOIN {values(_TESTS, 'kind, test_name, overall_score, components')} AS r ON p_partkey % 8 = kind")
 def english_scores(spark, sf_dir):
-    body = case("p_size", "'IELTS minimum ' || (p_size % 9 + 1) || '.5 overall.'", "'A minimum overall score of ' || (p_size % 9 + 1) || '.5 in IELTS.'", "'TOEFL iBT at least ' || (80 + p_size % 30)")
-    d = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{body} AS body")
-    return d.select("p_partkey", X.english_score(F.col("body"), "IELTS").alias("ielts"), X.english_score(F.col("body"), "TOEFL iBT").alias("toefl"))
+    kinds = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_ENGLISH)], "kind int, body string")
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "CAST(p_partkey % 8 AS INT) AS kind").join(F.broadcast(kinds), "kind").withColumn("r", N.english_requirement(F.col("body")))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("t.component_scores"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return d.select("p_partkey", F.explode("r.tests").alias("t")).select("p_partkey", "t.test_name", "t.overall_score", shown.alias("components"))
+
+
+_SNIPPETS = (("English Language Centre", True), ("a bachelor b bachelor c", True), ("a programme b programme c programme d programme e programme f", True), ("IELTS 6.5 for one bachelor degree", False))
+
+
+@query(f"SELECT p_partkey, listed FROM part JOIN {values([(i, b) for i, (_, b) in enumerate(_SNIPPETS)], 'kind, listed')} AS r ON p_partkey % 4 = kind")
+def english_snippet(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{case('p_partkey', *(text(t) for t, _ in _SNIPPETS))} AS body")
+    return d.select("p_partkey", N.looks_like_list(F.col("body")).alias("listed"))
+
+
+_QUALIFICATIONS = (("Note. Accepted qualifications  include GCE. More", "Accepted qualifications  include GCE."), ("IB Diploma is accepted here. A-level too is accepted.", "IB Diploma is accepted here."), ("Qualification accepted: HKDSE. IB Diploma accepted.", "Qualification accepted: HKDSE."), ("IB Diploma only.", None))
+
+
+@query(f"SELECT p_partkey, value FROM part JOIN {values([(i, v and v.replace('  ', ' ')) for i, (_, v) in enumerate(_QUALIFICATIONS)], 'kind, value')} AS r ON p_partkey % 4 = kind")
+def qualification_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{case('p_partkey', *(text(t) for t, _ in _QUALIFICATIONS))} AS body")
+    return d.select("p_partkey", N.accepted_qualification(F.col("body")).alias("value"))
 
 
 @query("SELECT p_partkey, 'Bachelor of ' || p_name AS name, 1 AS names FROM part")
@@ -96,7 +131,9 @@ def academic_year(spark, sf_dir):
 
 _STATUS = case("o_orderkey", "'known'", "'known'", "'unknown'", "'known'", "'needs_manual_check'")
 _CLAIMS = f"(SELECT o_custkey AS scan_id, 'p' || o_orderkey AS claim_path, o_orderpriority AS label, o_orderstatus AS value, {_STATUS} AS status FROM orders)"
-_EVIDENCE = "(SELECT l_suppkey AS supp, o_custkey AS scan_id, 'p' || l_orderkey AS claim_path, 'https://s' || l_suppkey || '.edu' AS source_url, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 <> 0)"
+#: Evidence for two thirds of the orders; that of the others names claims which don't exist.
+_PATH = "CASE WHEN l_orderkey % 3 = 0 THEN 'q' ELSE 'p' END || l_orderkey"
+_EVIDENCE = f"(SELECT l_suppkey AS supp, o_custkey AS scan_id, {_PATH} AS claim_path, 'https://s' || l_suppkey || '.edu' AS source_url, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def _claims(spark, sf_dir):
@@ -104,8 +141,8 @@ def _claims(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.selectExpr("l_suppkey AS supp", "o_custkey AS scan_id", "'p' || l_orderkey AS claim_path", "'https://s' || l_suppkey || '.edu' AS source_url", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.selectExpr("l_suppkey AS supp", "o_custkey AS scan_id", f"{_PATH} AS claim_path", "'https://s' || l_suppkey || '.edu' AS source_url", "l_linenumber")
 
 
 @query(f"SELECT scan_id, claim_path, value FROM {_CLAIMS} AS c WHERE status = 'known' AND NOT EXISTS (SELECT 1 FROM {_EVIDENCE} AS e WHERE e.scan_id = c.scan_id AND e.claim_path = c.claim_path)")
@@ -149,14 +186,83 @@ def confidence_rollup(spark, sf_dir):
     return E.overall_confidence(warnings, _evidence(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scan_id")))
 
 
-_FACT = "CASE doc_id % 7 WHEN 0 THEN '' ELSE substr(text, 3, 12) END"
+#: Suggested facts by kind: claim path, value, snippet, confidence, and the reason that refuses it.
+_SUGGESTED = (
+    ("admissions.fees", "SGD 100", "fee is SGD 100", 0.9, None),
+    ("admissions.fees", "SGD 100", "fee is SGD 100", 1.5, "malformed_candidate"),
+    (None, "SGD 100", "fee is SGD 100", 0.9, "malformed_candidate"),
+    ("admissions.nothing", "SGD 100", "fee is SGD 100", 0.1, "low_confidence"),
+    ("admissions.nothing", "SGD 100", "fee is SGD 100", 0.2, "claim_path_not_allowed"),
+    ("admissions.fees", "SGD 100", "no such text", 0.9, "snippet_not_found"),
+    ("admissions.fees", "SGD 200", "fee is SGD 100", 0.9, "value_not_in_snippet"),
+    ("programme_catalog[].name", "SGD 100", "fee is SGD 100", 0.9, "context_gate_failed"),
+    ("admissions.scholarships", "SGD", "SGD 100", 0.9, "context_gate_failed"),
+)
+_SUGGESTED_ROWS = values([(i, r[4]) for i, r in enumerate(_SUGGESTED)], "kind, reason")
+
+
+@query(
+    f"SELECT o_orderkey, CASE WHEN reason IN ('malformed_candidate', 'low_confidence', 'claim_path_not_allowed') THEN reason WHEN o_orderkey % 7 = 0 THEN 'source_not_captured' WHEN o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 THEN 'source_not_official' ELSE reason END AS reason FROM orders JOIN {_SUGGESTED_ROWS} AS r ON o_orderkey % {len(_SUGGESTED)} = kind"
+)
+def claim_validator_reason(spark, sf_dir):
+    kinds = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(_SUGGESTED)], "kind int, claim_path string, value string, evidence_snippet string, confidence double")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"CAST(o_orderkey % {len(_SUGGESTED)} AS INT) AS kind", "'https://' || CASE WHEN o_orderkey % 11 = 0 THEN 'other.org' ELSE 'www.example.edu' END || '/admissions/undergraduate/fees/' || o_orderkey AS source_url")
+    captured = orders.where("o_orderkey % 7 <> 0").selectExpr("source_url", "'The application fee is SGD 100.' AS text", "'Fees' AS title", "CASE WHEN o_orderkey % 3 > 0 OR o_orderkey % 5 = 0 THEN o_orderkey % 5 <> 0 END AS is_official")
+    suggested = orders.join(F.broadcast(kinds), "kind").withColumn("source_title", F.lit(None).cast("string"))
+    return E.suggestions_judged(suggested, captured, lambda u: U.is_allowed(u, "www.example.edu", "example.edu")).select("o_orderkey", "reason")
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'unsupported_claim_path' WHEN doc_id % 7 = 0 THEN 'empty_value' WHEN doc_id % 11 = 0 THEN 'missing_snippet' WHEN doc_id % 13 = 0 THEN 'source_not_captured' WHEN doc_id % 4 = 1 THEN 'non_official_source' WHEN (doc_id % 5) / 5.0 < 0.4 THEN 'low_confidence' WHEN doc_id % 6 = 2 THEN 'snippet_not_in_source' WHEN doc_id % 6 = 4 THEN 'value_not_in_snippet' ELSE 'accepted' END AS reason FROM documents")
-def claim_validator_reason(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"CASE WHEN doc_id % 6 = 4 AND doc_id % 7 <> 0 THEN '~~' ELSE {_FACT} END AS value", "CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 6 = 2 THEN '~' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS snippet", "doc_id % 10 <> 3 AS path_ok", "doc_id % 4 <> 1 AS official", "(doc_id % 5) / 5.0D AS confidence")
-    source = F.when(F.col("doc_id") % 13 != 0, F.col("text"))
-    return d.select("doc_id", E.candidate_reason(F.col("snippet"), source, F.col("value"), F.col("confidence"), F.col("path_ok"), F.col("official"), 0.4).alias("reason"))
+@query("SELECT o_orderkey, o_orderkey % 5 IN (0, 1) AND (o_orderkey % 4 <> 3 OR o_orderkey % 5 = 1) AS accepted FROM orders")
+def legacy_claim_semi(spark, sf_dir):
+    """Snippets word for word in evidence of the path: with the address or without, case apart in the value only."""
+    o = table(spark, sf_dir, "orders")
+    snippet = case("o_orderkey", text(" Fee is SGD 5 "), text("Fee is SGD 5"), text("Fee is SGD 6"), text(""), text("fee is sgd 5"))
+    candidates = o.selectExpr("o_orderkey", "'p' || o_orderkey AS claim_path", "' sgd 5' AS value", f"{snippet} AS evidence_snippet", "CASE WHEN o_orderkey % 5 = 1 THEN NULL WHEN o_orderkey % 4 = 3 THEN 'https://b' ELSE 'https://a' END AS source_url")
+    evidence = o.selectExpr("'p' || o_orderkey AS claim_path", "'Fee is SGD 5' AS snippet", "'https://a' AS source_url")
+    return E.snippets_supported(candidates, evidence, F.lit("The Fee is SGD 5 a year.")).select("o_orderkey", "accepted")
+
+
+@query("SELECT l_orderkey AS scan_id, '/fees/' || l_linenumber || '/value' AS claim_path, 'https://s' || l_suppkey AS source_url, CASE WHEN l_suppkey % 2 = 0 THEN 'pdf' ELSE 'html' END AS source_type, 'T' || l_suppkey AS title, CASE WHEN l_linenumber = 1 THEN 9 WHEN l_suppkey % 2 = 0 THEN 3 END AS page_number, CASE WHEN l_linenumber = 2 THEN 'high' ELSE 'medium' END AS confidence FROM lineitem")
+def evidence_built(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    claims = lines.selectExpr("l_orderkey AS scan_id", "'/fees/' || l_linenumber || '/value' AS claim_path", "'https://s' || l_suppkey AS source_url", "'x' AS snippet", "CASE WHEN l_linenumber = 1 THEN 9 END AS page_number", "CASE WHEN l_linenumber = 2 THEN 'high' END AS confidence")
+    sources = lines.selectExpr("l_orderkey AS scan_id", "'https://s' || l_suppkey AS source_url", "CASE WHEN l_suppkey % 2 = 0 THEN 'pdf' ELSE 'html' END AS source_type", "'T' || l_suppkey AS title", "'2026' AS retrieved_at", "CAST(NULL AS STRING) AS academic_year", "CASE WHEN l_suppkey % 2 = 0 THEN 3 END AS page_number").distinct()
+    return E.evidence_rows(claims, sources).select("scan_id", "claim_path", "source_url", "source_type", "title", "page_number", "confidence")
+
+
+@query("SELECT o_orderkey, o_orderkey % 6 AS kind FROM orders WHERE o_orderkey % 6 IN (3, 4)")
+def claim_paths_resolve(spark, sf_dir):
+    """Evidence that points to a claim, its list, its object, another place, beyond the list, and to an empty list."""
+    o = table(spark, sf_dir, "orders")
+    path = case("o_orderkey", text("/fees/0/value"), text("fees//0/"), text("/admissions/required_documents"), text("/fees/0/values"), text("/fees/1/value"), text("/programmes"))
+    claims = o.selectExpr("o_orderkey AS scan_id", "explode(array('/fees/0/value', '/admissions/required_documents/0/value')) AS claim_path")
+    return E.unresolved(o.selectExpr("o_orderkey AS scan_id", "o_orderkey", "o_orderkey % 6 AS kind", f"{path} AS claim_path"), claims).select("o_orderkey", "kind")
+
+
+@query("SELECT o_orderkey AS scan_id, unnest(['/institution/name', '/admissions/periods/0/value', '/admissions/periods/1/value', '/fees/0/value']) AS claim_path, unnest([o_clerk, o_orderstatus, NULL, CAST(o_shippriority AS VARCHAR)]) AS value, unnest(['known', 'known', 'unknown', 'known']) AS status FROM (SELECT *, 'c' || o_custkey AS o_clerk, 7 AS o_shippriority FROM orders)")
+def claims_flatten(spark, sf_dir):
+    claim = lambda value, status="known": F.struct(value.cast("string").alias("value"), F.lit(status).alias("status"))
+    period = lambda value, status: F.struct(F.lit("period").alias("label"), claim(value, status).alias("value"))
+    d = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("scan_id"),
+        F.struct(claim(F.concat(F.lit("c"), "o_custkey")).alias("name"), F.lit(1).alias("rank")).alias("institution"),
+        F.struct(F.array(period(F.col("o_orderstatus"), "known"), period(F.lit(None), "unknown")).alias("periods"), F.lit(None).cast("array<struct<value:struct<value:string,status:string>>>").alias("tests")).alias("admissions"),
+        F.array(F.struct(F.struct(F.lit(7).alias("value"), F.lit("known").alias("status")).alias("value"))).alias("fees"),
+        F.array(F.lit("note")).alias("notes"),
+    )
+    return E.flattened(d, ["scan_id"])
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'Programme catalog row lacks required provenance fields: source_url, evidence_snippet' WHEN 2 THEN 'Programme catalog row evidence_path must point inside the same programme_catalog row.' WHEN 3 THEN 'Programme catalog row evidence_path has no matching evidence item.' ELSE 'Programme catalog row lacks required provenance fields: evidence_path' END AS message, "
+    "'/programme_catalog/' || p_size || CASE p_partkey % 5 WHEN 2 THEN '/evidence_path' ELSE '/name' END AS field FROM part WHERE p_partkey % 5 > 0"
+)
+def catalog_provenance(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    own = "'/programme_catalog/' || p_size || '/name'"
+    rows = p.selectExpr("p_partkey AS scan_id", "p_size AS position", "CASE WHEN p_partkey % 5 = 1 THEN ' ' ELSE 'https://e' END AS source_url", "CASE WHEN p_partkey % 5 = 1 THEN '' ELSE 'x' END AS evidence_snippet", f"CASE p_partkey % 5 WHEN 2 THEN '/programme_catalog/' || p_size || '0/name' WHEN 4 THEN NULL ELSE {own} END AS evidence_path")
+    evidence = p.selectExpr("CASE WHEN p_partkey % 5 = 3 THEN -p_partkey ELSE p_partkey END AS scan_id", f"{own} AS claim_path")
+    return E.row_provenance(rows, evidence).selectExpr("scan_id AS p_partkey", "message", "field")
 
 
 # Capture order and diagnostics ----------------------------------------------------------------------------------------
@@ -205,15 +311,16 @@ def prereq_rehome(spark, sf_dir):
     return D.rehomed_prerequisites(table(spark, sf_dir, "events").selectExpr("user_id AS scan_id", "event_id AS page_order", "CASE WHEN event_id % 50 = 7 THEN 'programme' ELSE 'prerequisite' END AS kind"))
 
 
-@query("WITH f AS (SELECT c_nationkey AS scan_id, c_mktsegment AS family, count(*) AS n FROM customer WHERE c_custkey % 4 <> 1 OR c_mktsegment < 'B' GROUP BY 1, 2), t AS (SELECT scan_id, arg_max(family, (n, family)) AS family, max(n) AS top, CAST(sum(n) AS BIGINT) AS total, count(*) AS families FROM f GROUP BY 1) SELECT scan_id, family, families, round(top / total, 3) AS family_url_share, total >= 5 AND families >= 2 AND top / total >= 0.3 AS biased FROM t")
+@query("WITH f AS (SELECT c_nationkey AS scan_id, CASE WHEN c_custkey % 4 = 1 THEN 'AUTOMOBILE' ELSE c_mktsegment END AS family, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT scan_id, arg_max(family, (n, family)) AS family, max(n) AS top, CAST(sum(n) AS BIGINT) AS total, count(*) AS families FROM f GROUP BY 1) SELECT scan_id, family, families, round(top / total, 3) AS family_url_share, total >= 5 AND families >= 2 AND top / total >= 0.3 AS biased FROM t")
 def family_bias_topk(spark, sf_dir):
-    return D.family_bias(table(spark, sf_dir, "customer").where("c_custkey % 4 <> 1 OR c_mktsegment < 'B'").selectExpr("c_nationkey AS scan_id", "c_mktsegment AS family"), share=0.3)
+    return D.family_bias(table(spark, sf_dir, "customer").selectExpr("c_nationkey AS scan_id", "CASE WHEN c_custkey % 4 = 1 THEN 'AUTOMOBILE' ELSE c_mktsegment END AS family"), share=0.3)
 
 
-@query("SELECT label, count(*) AS urls FROM (SELECT DISTINCT l_partkey, l_returnflag || l_linestatus AS label FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity > 20 UNION ALL SELECT p_partkey, 'candidate_source' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 3 <> 0 AND l_quantity > 20)) GROUP BY label")
+@query("SELECT label, count(*) AS urls FROM (SELECT DISTINCT l_partkey, l_returnflag || l_linestatus AS label FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, 'candidate_source' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT -p_partkey - 1, 'candidate_source' FROM part) GROUP BY label")
 def source_status_labels(spark, sf_dir):
-    labels = table(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0 AND l_quantity > 20").selectExpr("l_partkey AS url", "l_returnflag || l_linestatus AS label")
-    return D.status_labels(table(spark, sf_dir, "part").selectExpr("p_partkey AS url"), labels)
+    labels = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS url", "l_returnflag || l_linestatus AS label")
+    candidates = table(spark, sf_dir, "part").selectExpr("explode(array(p_partkey, -p_partkey - 1)) AS url")
+    return D.status_labels(candidates, labels)
 
 
 # Catalogues, paging, traversal ----------------------------------------------------------------------------------------
@@ -230,20 +337,24 @@ def catalog_summary(spark, sf_dir):
     return table(spark, sf_dir, "part").groupingSets([["p_type"], ["p_brand"], []], "p_type", "p_brand").agg(F.count("*").alias("n"))
 
 
-_EDGE = "(SELECT o_orderkey % 500 AS a, (o_orderkey * 7 + 3) % 500 AS b FROM orders UNION SELECT o_custkey % 500, o_orderkey % 500 FROM orders WHERE o_orderkey % 9 = 0)"
+#: Links from each customer to its orders, from each order to another customer.
+_EDGE = "(SELECT o_custkey AS a, -o_orderkey AS b FROM orders UNION SELECT -o_orderkey, (o_custkey * 7 + o_orderkey) % (SELECT max(c_custkey) FROM customer) + 1 FROM orders)"
 
 
-@query(f"WITH RECURSIVE r AS (SELECT 1 AS node, 0 AS depth UNION SELECT CAST(e.b AS INT), depth + 1 FROM r JOIN {_EDGE} AS e ON r.node = e.a WHERE depth < 3) SELECT CAST(node AS BIGINT) AS node, min(depth) AS depth FROM r GROUP BY node")
+@query(f"WITH RECURSIVE r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT CAST(e.b AS BIGINT), depth + 1 FROM r JOIN {_EDGE} AS e ON r.node = e.a WHERE depth < 6) SELECT node, min(depth) AS depth FROM r GROUP BY node")
 def reach_recursive(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    edges = o.selectExpr("o_orderkey % 500 AS a", "(o_orderkey * 7 + 3) % 500 AS b").union(o.where("o_orderkey % 9 = 0").selectExpr("o_custkey % 500", "o_orderkey % 500"))
-    return C.reach(edges, spark.range(1, 2).selectExpr("id AS node"), 3)
+    o = table(spark, sf_dir, "orders").crossJoin(F.broadcast(table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("n"))))
+    edges = o.selectExpr("o_custkey AS a", "-o_orderkey AS b").union(o.selectExpr("-o_orderkey", "(o_custkey * 7 + o_orderkey) % n + 1"))
+    return C.reach(edges, spark.range(1, 2).selectExpr("id AS node"), 6)
 
 
 @query()
 def crawl_best_first(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").selectExpr("o_custkey % 40 AS scan_id", "'u' || (o_orderkey % 60) AS url", "CAST(o_orderkey % 13 AS INT) AS score", "array('u' || ((o_orderkey * 7 + 1) % 60), 'u' || ((o_orderkey * 11 + 5) % 60)) AS links")
-    captured = E.first_of_each(o, ["scan_id", "url"], ["score", F.col("links").cast("string")])
+    """A site for each customer, with a page for each of its orders and links to neighbours."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey AS scan_id", "o_orderkey AS n", "CAST(o_orderkey % 13 AS INT) AS score")
+    around = Window.partitionBy("scan_id").orderBy("n")
+    links = F.array_compact(F.array(F.lead("n", 1).over(around), F.lead("n", 3).over(around), F.lag("n", 2).over(around)))
+    captured = o.select("scan_id", F.concat(F.lit("u"), "n").alias("url"), "score", F.transform(links, lambda x: F.concat(F.lit("u"), x.cast("string"))).alias("links"))
     return C.best_first(captured, captured.groupBy("scan_id").agg(F.min("url").alias("seed")), 20, 4)
 
 
