@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import nullif_empty
+from tessera.functions.columns import bound, nullif_empty
 
-#: The entities that are resolved; named ones beyond these stay as written.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Characters of named entities, with and without the semicolon; those of numbers whose meaning is that of windows-1252.
+_NAMED = dict(html5)
+_LEGACY = "|".join(sorted((n for n in _NAMED if not n.endswith(";")), key=len, reverse=True))
+_WINDOWS = {str(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)} | {"0": "\ufffd", "13": "\r"}
+_ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_LEGACY}))"
 _DROPPED = ("script", "style", "noscript", "svg", "canvas", "iframe", "nav", "header", "footer", "aside")
 _NOISE = "breadcrumb|cookie|consent|banner|global|nav|menu|mega|header|footer|sidebar|social|share|skip|search|modal|popup|toolbar|utility"
 
 
+def _code_point(number: Column) -> Column:
+    """The character of a decimal code point; the replacement character where there is none."""
+    code = number.try_cast("long")
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in _WINDOWS.items() for x in pair)), code.cast("string"))
+    fits = code.isNotNull() & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    hidden = code.between(1, 8) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code == 0xB) | ((code % 0x10000) >= 0xFFFE)
+    return F.when(known.isNotNull(), known).when(~fits, F.lit("\ufffd")).when(hidden, F.lit("")).otherwise(plain)
+
+
+def _resolved(entity: Column) -> Column:
+    named = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
+    number = F.regexp_extract(entity, "^&#([0-9]+)", 1)
+    hexed = F.regexp_extract(entity, "^&#[xX]([0-9A-Fa-f]+)", 1)
+    name = F.substring(entity, 2, 64)
+    lead = F.regexp_extract(name, f"^({_LEGACY})", 1)
+    whole = F.try_element_at(named, name)
+    part = F.when(lead != "", F.concat(F.try_element_at(named, lead), F.substr(name, F.length(lead) + 1))).otherwise(entity)
+    return F.when(number != "", _code_point(number)).when(hexed != "", _code_point(F.conv(hexed, 16, 10))).otherwise(F.coalesce(whole, part))
+
+
 def unescaped(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Entities resolved, by name or number; one pass, so that doubly escaped ones stay escaped once."""
+
+    def of(t: Column) -> Column:
+        between = F.split(t, _ENTITY, -1)
+        found = F.transform(F.regexp_extract_all(t, F.lit(f"({_ENTITY})"), F.lit(1)), _resolved)
+        return F.when(t.contains("&"), F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(found, i), F.lit("")))), "")).otherwise(t)
+
+    return bound(text, of)
 
 
 def without_tags(html: Column) -> Column:
@@ -38,15 +69,21 @@ def main_fragment(html: Column) -> Column:
     return F.coalesce(*found, html)
 
 
-def without_noise(html: Column, passes: int = 3) -> Column:
-    """Comments, page furniture and blocks whose attributes name furniture, nested up to ``passes`` deep."""
+def without_noise(html: Column) -> Column:
+    """Comments, page furniture and blocks whose attributes name furniture, until nothing more goes."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for tag in _DROPPED:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     block = rf"(?is)<(?<tag>div|section|form|ul|ol)\b[^>]*(?:class|id|role|aria-label)\s*=\s*[\"'][^\"']*(?:{_NOISE})[^\"']*[\"'][^>]*>.*?</\k<tag>>"
-    for _ in range(passes):
-        out = F.regexp_replace(out, block, " ")
-    return out
+
+    def settled(t: Column) -> Column:
+        """Each pass takes a block at least, so there are no more passes than blocks; the rest of them does nothing."""
+        state = lambda text, go: F.struct(text.alias("text"), go.alias("go"))
+        step = lambda s, _: F.when(s["go"], bound(F.regexp_replace(s["text"], block, " "), lambda new: state(new, new != s["text"]))).otherwise(s)
+        blocks = F.regexp_count(t, F.lit(r"(?i)<(?:div|section|form|ul|ol)\b"))
+        return F.aggregate(F.sequence(F.lit(0), blocks), state(t, F.lit(True)), step, lambda s: s["text"])
+
+    return bound(out, settled)
 
 
 def table_text(table: Column) -> Column:
