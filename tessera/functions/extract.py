@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import rules as R
 from tessera.functions.columns import contains_any, nullif_empty
 from tessera.functions.rules import DATE_PATTERN, FEE_PATTERN, MONEY_PATTERN, PROGRAMME_PATTERN
 from tessera.functions.text import collapsed, sentence_with
@@ -74,6 +75,22 @@ def fee_snippet(text: Column) -> Column:
     return nullif_empty(F.trim(F.regexp_extract(text, FEE_PATTERN, 1)))
 
 
+def fee_table_reference(url: Column, title: Column, text: Column) -> Column:
+    """Headings of fee tables on undergraduate pages, joined by full stops."""
+    hint = F.lower(F.concat_ws(" ", url, F.coalesce(title, F.lit(""))))
+    about = F.lower(url).contains("/admissions/undergraduate/") | F.lower(F.substring(text, 1, 2500)).contains("undergraduate")
+    heads = F.array(*(nullif_empty(collapsed(F.regexp_extract(collapsed(text), p, 0))) for p in R.FEE_TABLE_PATTERNS))
+    found = F.array_distinct(F.filter(heads, lambda h: h.isNotNull()))
+    return F.when(~contains_any(hint, R.FEE_TABLE_NOT) & about, nullif_empty(F.array_join(found, ". ")))
+
+
+def fee(url: Column, title: Column, text: Column) -> Column:
+    """What a page says of fees: a sentence with a price; one without a number gives way to the headings of fee tables."""
+    snippet = fee_snippet(text)
+    bare = contains_any(F.lower(snippet), ("tuition", "fee", "fees", "application fee")) & ~snippet.rlike(R.FEE_NUMBER_PATTERN)
+    return collapsed(F.when(snippet.isNotNull() & ~bare, snippet).otherwise(fee_table_reference(url, title, text)))
+
+
 def money(text: Column) -> Column:
     """array<struct<currency, amount, student_group, billing_period, fee_type>>: one for each amount; the context of an
     amount is the clause between full stops and bars that holds it, decimals are cut off."""
@@ -105,7 +122,8 @@ def programme_names(text: Column) -> Column:
 
 
 def prerequisite(text: Column) -> Column:
-    return _cut(text, r"(?i)([^.\n]*\b(?:requires?\s+mathematics|mathematics\s+(?:is\s+)?required)\b[^.\n]*)", 1)
+    """The sentence that asks for mathematics."""
+    return F.coalesce(*(_cut(text, p, 1) for p in R.PREREQUISITE_PATTERNS))
 
 
 def contact(url: Column, title: Column, text: Column) -> Column:

@@ -784,3 +784,13 @@ SUGGESTED_CLAIM_PATHS = (
 SUGGESTED_CONFIDENCE = 0.2
 CATALOG_CONTEXT_NOT = ("postgraduate", "graduate research", "phd", "master of")
 CATALOG_CONTEXT = ("undergraduate programme", "undergraduate program", "bachelor", "degree programme", "degree program", "major", "minor", "catalogue", "catalog")
+
+#: Fees in tables: where to look for them, and headings that stand for them.
+FEE_TABLE_NOT = ("/graduate", "/postgraduate", "postgraduate", "graduate tuition", "/hall-admission", "/sao/", "residential life")
+FEE_TABLE_PATTERNS = (
+    r"(?i)Tuition Fees For Semester 1 and 2(?:\s+Accepted programme offer in [0-9]{4})?",
+    r"(?i)Tuition fees payable for AY[0-9]{4}\s*[-–]\s*[0-9]{2,4}",
+    r"(?i)Tuition Fees payable per academic unit[^.]{0,180}",
+)
+FEE_NUMBER_PATTERN = r"(?i)(?:HKD|HK\$|S\$|SGD|USD|US\$|\$)\s*[0-9]"
+PREREQUISITE_PATTERNS = (r"(?i)(Mathematics required[^.]*\.)", r"(?i)(requires Mathematics[^.]*\.)")

@@ -108,13 +108,16 @@ def programme_names(spark, sf_dir):
     return d.select("p_partkey", F.get(names, 0).alias("name"), F.size(names).alias("names"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,})', 1), '') AS contact FROM documents WHERE contains(text, '@')")
+@query(
+    r"SELECT doc_id, CASE WHEN NOT contains(lower(substr(text, 1, 1000)), 'privacy') AND NOT contains(lower(substr(text, 1, 1000)), '/contact-us/form') AND NOT contains(lower(substr(text, 1, 1000)), 'personal information collection statement') "
+    r"THEN coalesce(nullif(regexp_extract(text, '([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,})', 1), ''), nullif(trim(regexp_extract(text, '(?i)(?:phone|tel)[:\s]+([+()0-9][+()0-9\-\s]{5,})', 1)), '')) END AS contact FROM (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' Tel: +65 1234 (5678)' ELSE '' END AS text FROM documents)"
+)
 def contact_extract(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "text || CASE WHEN doc_id % 5 = 0 THEN ' Tel: +65 1234 (5678)' ELSE '' END AS text")
     return d.select("doc_id", X.contact(F.lit("https://e.edu/contact"), F.lit("Contact"), F.col("text")).alias("contact"))
 
 
-@query("SELECT p_partkey, 'Scholarship number ' || p_size || ' is open.' AS scholarship, 'Visa for ' || p_name || ' holders.' AS visa, 'A ' || p_name || ' degree requires Mathematics at level ' || p_size AS prerequisite, 'Scholarship number ' || p_size || ' is open.' AS sentence FROM part")
+@query("SELECT p_partkey, 'Scholarship number ' || p_size || ' is open.' AS scholarship, 'Visa for ' || p_name || ' holders.' AS visa, 'requires Mathematics at level ' || p_size || '.' AS prerequisite, 'Scholarship number ' || p_size || ' is open.' AS sentence FROM part")
 def snippet_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "part").selectExpr("p_partkey", "'Hello there. Scholarship number ' || p_size || ' is open. Visa for ' || p_name || ' holders. A ' || p_name || ' degree requires Mathematics at level ' || p_size || '. End.' AS body")
     b = F.col("body")

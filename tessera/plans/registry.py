@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import captures, catalogue, claims, pages, streams
+from tessera.plans import captures, catalogue, claims, pages, scans, streams
 from tessera.plans.base import QUERIES, SQL, Query
 
-__all__ = ["captures", "catalogue", "claims", "entry", "oracle_sql", "pages", "queries", "streams"]
+__all__ = ["captures", "catalogue", "claims", "entry", "oracle_sql", "pages", "queries", "scans", "streams"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
