@@ -46,14 +46,14 @@ def _runs(words: Column, k: int) -> Column:
 
 def _with_simhash(df: DataFrame, runs: str, name: str) -> DataFrame:
     """Adds 64 sign bits of the summed bits of an array of hashes. Four 16-bit counters share a long, or two 32-bit ones
-    where an array has more entries than 16 bits count."""
+    where an array has more entries than 15 bits count (the upper counter ends in the sign)."""
 
     ones = {w: sum(1 << b for b in range(0, 64, w)) for w in (16, 32)}
     of = lambda values: f"if(w = 16, {values[16]}L, {values[32]}L)"
     lanes = f"transform(sequence(0, w - 1), b -> aggregate({runs}, 0L, (a, r) -> a + (shiftrightunsigned(r, b) & {of(ones)})))"
     count = f"shiftrightunsigned(l[b % w], cast(b DIV w AS INT) * w) & {of({w: (1 << w) - 1 for w in (16, 32)})}"
     bits = f"aggregate(sequence(0, 63), 0L, (s, b) -> s | if(2 * ({count}) > size({runs}), shiftleft(1L, b), 0L))"
-    return df.withColumn(name, F.expr(f"element_at(transform(array(if(size({runs}) < 65536, 16, 32)), w -> element_at(transform(array({lanes}), l -> {bits}), 1)), 1)"))
+    return df.withColumn(name, F.expr(f"element_at(transform(array(if(size({runs}) < 32768, 16, 32)), w -> element_at(transform(array({lanes}), l -> {bits}), 1)), 1)"))
 
 
 def _variants(width: int, flips: int) -> list[int]:
