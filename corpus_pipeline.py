@@ -66,8 +66,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No SQL expresses the tokeniser, the classifier or the packing. Tests call the first four stages on raw documents with weak
-#: checks and hold the operators against brute force; no test calls run().
+#: No SQL expresses the tokeniser, the classifier or the packing. Tests hold each stage on its own input against a plain
+#: version, and run() against the chain of stages.
 ORACLE_SQL = None
 
 
