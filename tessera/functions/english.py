@@ -20,7 +20,8 @@ TESTS = "array<struct<test_name:string,overall_score:string,component_scores:map
 _DELIMITERS = re.compile(r" or |;|\[back to top\]|(?<![0-9])\.|\.(?![0-9])", re.I)
 
 
-def _cleaned(text: str) -> str:
+def cleaned(text: str) -> str:
+    """Entities resolved, single blanks, no blanks or marks at the ends."""
     return re.sub(r"\s+", " ", html.unescape(text).replace("\xa0", " ")).strip(" ;,.")
 
 
@@ -31,7 +32,7 @@ def _number(text: str) -> str:
 
 def _score(test: str, clause: str) -> dict | None:
     """What a clause says about a test, if it says a score."""
-    clause = _cleaned(clause)
+    clause = cleaned(clause)
     lower = clause.lower()
     if any(t in lower for t in R.ENGLISH_SCORE_TERMS):
         stated = re.search("[0-9]", clause)
@@ -57,7 +58,7 @@ def _score(test: str, clause: str) -> dict | None:
 
 def tests_in(text: str) -> list[dict]:
     """Scores of tests, or the one rule of an exemption."""
-    text = _cleaned(text)
+    text = cleaned(text)
     lower = text.lower()
     if any(t in lower for t in R.ENGLISH_EXEMPTION_TERMS) and any(t in lower for t in R.ENGLISH_EXEMPTION_SUBJECTS):
         return [{"test_name": None, "overall_score": None, "component_scores": {}, "raw_text": text, "rule_type": "exemption_or_waiver"}]

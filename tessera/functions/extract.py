@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.functions.columns import contains_any, nullif_empty
+from tessera.functions.english import cleaned
 from tessera.functions.rules import DATE_PATTERN, FEE_PATTERN, MONEY_PATTERN, PROGRAMME_PATTERN
 from tessera.functions.text import collapsed, sentence_with
 
@@ -91,26 +94,47 @@ def fee(url: Column, title: Column, text: Column) -> Column:
     return collapsed(F.when(snippet.isNotNull() & ~bare, snippet).otherwise(fee_table_reference(url, title, text)))
 
 
+def academic_year(context: Column) -> Column:
+    found = F.regexp_extract(context, R.FEE_YEAR_PATTERN, 1)
+    return nullif_empty(F.replace(F.regexp_replace(found, r"\s+", ""), F.lit("-"), F.lit("/")))
+
+
+def cohort(context: Column) -> Column:
+    return nullif_empty(collapsed(F.regexp_extract(context, R.COHORT_PATTERN, 1)))
+
+
+def _priced(text: str | None) -> list[dict]:
+    """Amounts of a text with the table cell or sentence around each, by their places."""
+    text = cleaned(text or "")
+    marks = [(m.start(), m.end()) for m in re.finditer(R.FEE_ROW_MARKS, text)]
+    out = []
+    for hit in re.finditer(MONEY_PATTERN, text):
+        lo, hi = hit.span()
+        begin = max([-1, *(a for a, b in marks if b <= lo)]) + 1
+        end = min([a for a, _ in marks if a >= hi], default=min(len(text), hi + 220))
+        row = text[begin:end].strip()
+        row = row if len(row) <= 360 else text[max(0, lo - 120) : hi + 220].strip()
+        out.append({"code": hit[1], "amount": int(hit[2].replace(",", "").split(".")[0]), "context": cleaned(row)})
+    return out
+
+
 def money(text: Column) -> Column:
-    """array<struct<currency, amount, student_group, billing_period, fee_type>>: one for each amount; the context of an
-    amount is the clause between full stops and bars that holds it, decimals are cut off."""
-    pattern = MONEY_PATTERN
-    clauses = F.split(text, r"\.(?![0-9])|\|")
-
-    def of(clause: Column) -> Column:
-        hits = F.regexp_extract_all(clause, F.lit(pattern), F.lit(0))
-        return F.transform(
-            hits,
-            lambda h: F.struct(
-                currency(F.regexp_extract(h, pattern, 1), clause).alias("currency"),
-                F.regexp_extract(F.replace(F.regexp_extract(h, pattern, 2), F.lit(","), F.lit("")), "^([0-9]+)", 1).try_cast("long").alias("amount"),
-                student_group(clause).alias("student_group"),
-                billing_period(clause).alias("billing_period"),
-                fee_type(clause).alias("fee_type"),
-            ),
-        )
-
-    return F.flatten(F.transform(clauses, of))
+    """array<struct<currency, amount, student_group, academic_year, cohort, billing_period, fee_type, raw_text>>: one for
+    each amount, whole units; what is said of it comes from its cell or sentence."""
+    found = F.udf(_priced, "array<struct<code:string,amount:bigint,context:string>>", useArrow=True)(text)
+    return F.transform(
+        found,
+        lambda m: F.struct(
+            currency(m["code"], m["context"]).alias("currency"),
+            m["amount"].alias("amount"),
+            student_group(m["context"]).alias("student_group"),
+            academic_year(m["context"]).alias("academic_year"),
+            cohort(m["context"]).alias("cohort"),
+            billing_period(m["context"]).alias("billing_period"),
+            fee_type(m["context"]).alias("fee_type"),
+            m["context"].alias("raw_text"),
+        ),
+    )
 
 
 def programme_names(text: Column) -> Column:

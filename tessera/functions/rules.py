@@ -794,3 +794,8 @@ FEE_TABLE_PATTERNS = (
 )
 FEE_NUMBER_PATTERN = r"(?i)(?:HKD|HK\$|S\$|SGD|USD|US\$|\$)\s*[0-9]"
 PREREQUISITE_PATTERNS = (r"(?i)(Mathematics required[^.]*\.)", r"(?i)(requires Mathematics[^.]*\.)")
+
+#: What a fee's table cell or sentence says of it, and where cells and sentences end.
+FEE_YEAR_PATTERN = r"(?i)\b(?:AY|academic year)\s*([0-9]{4}\s*[/\\-]\s*[0-9]{2,4})\b"
+COHORT_PATTERN = r"(?i)\(([0-9]{4}\s*-\s*[0-9]{2,4}\s+cohort)\)"
+FEE_ROW_MARKS = r"\.|\|| Left Column | Middle Column | Right Column "

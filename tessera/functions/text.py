@@ -7,6 +7,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import urls as U
 from tessera.functions.columns import bound, nullif_empty
 
 #: Characters of named entities, with and without the semicolon; those of numbers whose meaning is that of windows-1252.
@@ -124,17 +125,7 @@ def links(html: Column) -> Column:
 
 
 def absolute(link: Column, base: Column) -> Column:
-    """A link joined to its page: absolute, rooted, query-only or relative to the page's folder."""
-    origin = F.regexp_extract(base, "^([^:/?#]+://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, "^[^:/?#]+://[^/?#]*(/(?:[^?#]*/)?)?", 1)
-    page = F.regexp_extract(base, "^([^?#]*)", 1)
-    return (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([^:/?#]+:)", 1), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?") | link.startswith("#"), F.concat(page, link))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), link))
-    )
+    return U.joined(link, base)
 
 
 def sitemap_locations(xml: Column) -> Column:
@@ -143,6 +134,11 @@ def sitemap_locations(xml: Column) -> Column:
     return F.array_distinct(F.transform(found, unescaped))
 
 
+def sitemap_urls(xml: Column, base: Column) -> Column:
+    """Distinct canonical addresses of a sitemap, joined to its own, in their order."""
+    return F.array_distinct(F.transform(sitemap_locations(xml), lambda u: U.canonical_url(u, base)))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 

@@ -76,14 +76,50 @@ def _is_tracking(key: Column) -> Column:
     return F.lower(key).isin(*TRACKING_QUERY_NAMES) | F.lower(key).startswith("utm_")
 
 
-def canonical_url(url: Column) -> Column:
-    """One spelling of a URL for de-duplication: no fragment, parameters, default port, user information, last slash
-    or tracking names; scheme and host in lower case, query sorted and encoded anew."""
-    scheme = F.lower(F.when(part(url, 1) != "", part(url, 1)).otherwise("https"))
-    raw = path(url)
-    cut = F.when(raw == "", "/").when(raw == "/", "/").otherwise(F.regexp_replace(raw, "/+$", ""))
-    query = encoded_query(F.array_sort(F.filter(query_pairs(part(url, 4)), lambda p: ~_is_tracking(p["k"]))))
-    return F.concat(scheme, F.lit("://"), host(url), cut, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+def without_dots(path_: Column) -> Column:
+    """A rooted path with its ``.`` and ``..`` segments resolved; above the root is the root."""
+    steps = F.split(F.regexp_replace(path_, "^/", ""), "/")
+    dots = F.element_at(steps, -1).isin(".", "..")
+
+    def step(taken: Column, s: Column) -> Column:
+        return F.when(s == ".", taken).when(s == "..", F.slice(taken, 1, F.greatest(F.size(taken) - 1, F.lit(0)))).otherwise(F.array_append(taken, s))
+
+    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    return F.when(path_.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(dots & (F.size(kept) > 0), "/").otherwise(""))).otherwise(path_)
+
+
+def joined(link: Column, base: Column) -> Column:
+    """A link joined to its page's address (RFC 3986): absolute, of another host, rooted, of the folder, or a query."""
+    own = lambda n: part(base, n)
+    origin = F.concat(own(1), F.lit("://"), own(2))
+    folder = F.regexp_replace(F.when(own(3) == "", "/").otherwise(own(3)), "[^/]*$", "")
+    tail = F.regexp_extract(link, r"([?#].*)$", 1)
+    route = part(link, 3)
+    return (
+        F.when(link == "", base)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(own(1), F.lit(":"), link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), link))
+        .when(link.startswith("/"), F.concat(origin, without_dots(route), tail))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, route)), tail))
+    )
+
+
+def canonical_url(url: Column, base: Column | None = None) -> Column:
+    """One spelling of a URL for de-duplication, joined to ``base`` first: no fragment, parameters, default port, user
+    information, last slash or tracking names; scheme and host in lower case, query sorted and encoded anew. File
+    addresses keep their path and lose the rest."""
+
+    def of(u: Column) -> Column:
+        scheme = F.lower(F.when(part(u, 1) != "", part(u, 1)).otherwise("https"))
+        raw = path(u)
+        cut = F.when(raw == "", "/").when(raw == "/", "/").otherwise(F.regexp_replace(raw, "/+$", ""))
+        query = encoded_query(F.array_sort(F.filter(query_pairs(part(u, 4)), lambda p: ~_is_tracking(p["k"]))))
+        web = F.concat(scheme, F.lit("://"), host(u), cut, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+        return F.when(scheme == "file", F.concat(F.lit("file://"), part(u, 2), raw)).otherwise(web)
+
+    return of(url) if base is None else bound(joined(url, base), of)
 
 
 def _lower_path(url: Column) -> Column:
@@ -103,13 +139,18 @@ def is_low_value(url: Column) -> Column:
     return is_static(url) | (is_pdf(url) & contains_any(_lower_path(url), LOW_VALUE_DOCUMENT_TERMS))
 
 
-def is_allowed(url: Column, seed_host: str, seed_domain: str, hosts: list[str] = (), domains: list[str] = ()) -> Column:
-    """Official-domain policy: an allowed host or domain, or the seed's own registrable domain."""
+def is_allowed(url: Column, seed_host: str, seed_domain: str, hosts: list[str] | None = None, domains: list[str] = (), subdomains: bool = True) -> Column:
+    """Official-domain policy: an allowed host (by default the seed's), an allowed domain, or, with ``subdomains``, the
+    seed's own registrable domain. File addresses are allowed where ``file`` is an allowed host."""
+    allowed = [seed_host] if hosts is None else list(hosts)
     h, d = host(url), registrable_domain(host(url))
-    known = h.isin(seed_host, *hosts) | (d == seed_domain)
+    known = h.isin(*allowed)
+    if subdomains:
+        known = known | (d == seed_domain)
     if domains:
         known = known | h.isin(*domains) | d.isin(*domains)
-    return F.lower(part(url, 1)).isin("http", "https") & (h != "") & known
+    scheme = F.lower(part(url, 1))
+    return F.when(scheme == "file", F.lit("file" in allowed)).otherwise(scheme.isin("http", "https") & (h != "") & known)
 
 
 def planner_reason(url: Column, allowed: Column) -> Column:

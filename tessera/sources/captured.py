@@ -6,8 +6,10 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.functions import urls as U
 from tessera.functions.columns import nullif_empty
 
 #: Timestamp of captures read from a folder. Fixed value.
@@ -53,7 +55,7 @@ def fetched(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
 
 def read_site(spark: SparkSession, root: str, base_url: str) -> DataFrame:
     """A folder of captured files as pages: path to URL (``index.html`` is its folder; a top folder with a dot in its
-    name is another host), type by suffix, title, text, links and content hash."""
+    name is another host), type by suffix, title, text, links and content hash. ``rel`` is the path in the folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), "^/+", "")
     first = F.regexp_extract(rel, "^([^/]+)/", 1)
@@ -61,10 +63,41 @@ def read_site(spark: SparkSession, root: str, base_url: str) -> DataFrame:
     url = F.when(other_host, F.concat(F.lit("https://"), rel)).otherwise(F.concat(F.lit(base_url.rstrip("/") + "/"), rel))
     url = F.regexp_replace(url, r"index\.html$", "")
     kind = F.when(rel.endswith(".pdf"), "pdf").when(rel.endswith(".json"), "json").when(rel.rlike(r"\.html?$"), "html").otherwise("other")
-    raw = F.decode("content", "UTF-8")
-    pages = files.select(url.alias("url"), kind.alias("source_type"), raw.alias("raw"))
+    pages = files.select(rel.alias("rel"), url.alias("url"), kind.alias("source_type"), F.decode("content", "UTF-8").alias("raw"))
+    none = F.array().cast("array<string>")
     is_html = F.col("source_type") == "html"
-    return pages.select("url", F.lit(200).alias("status"), "source_type", F.lit(CAPTURED_AT).alias("retrieved_at"), F.when(is_html, T.title(F.col("raw"))).alias("title"), F.when(is_html, T.html_text(F.col("raw"))).otherwise(F.col("raw")).alias("text"), F.when(is_html, T.links(F.col("raw"))).otherwise(F.array().cast("array<string>")).alias("links"), T.academic_year(F.when(is_html, T.html_text(F.col("raw"))).otherwise(F.col("raw"))).alias("academic_year"), T.content_hash(F.col("raw")).alias("content_hash"))
+    pages = pages.withColumn("text", F.when(is_html, T.html_text(F.col("raw"))).otherwise(F.col("raw")))
+    return pages.select("rel", "url", F.lit(200).alias("status"), "source_type", F.lit(CAPTURED_AT).alias("retrieved_at"), F.when(is_html, T.title(F.col("raw"))).alias("title"), "text", F.when(is_html, T.links(F.col("raw"))).otherwise(none).alias("links"), T.academic_year(F.col("text")).alias("academic_year"), T.content_hash(F.col("raw")).alias("content_hash"), none.alias("warnings"))
+
+
+def site_path(url: Column, base_url: str) -> Column:
+    """Where a folder keeps an address: its path, under its host's name if that isn't the base's; queries and fragments
+    don't count, and null stands for what would be outside of the folder."""
+    own = F.split(F.lit(base_url), "/")[2]
+    web = F.lower(U.part(url, 1)).isin("http", "https")
+    route = F.regexp_replace(F.when(web & (U.part(url, 2) != own), F.concat(U.part(url, 2), U.part(url, 3))).when(web, U.part(url, 3)).otherwise(F.regexp_extract(url, "^([^?#]*)", 1)), "^/+", "")
+
+    def step(state: Column, s: Column) -> Column:
+        taken = F.when(s.isin("", "."), state["taken"]).when(s == "..", F.slice(state["taken"], 1, F.greatest(F.size(state["taken"]) - 1, F.lit(0)))).otherwise(F.array_append(state["taken"], s))
+        return F.struct(taken.alias("taken"), (state["out"] | ((s == "..") & (F.size(state["taken"]) == 0))).alias("out"))
+
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.lit(False).alias("out"))
+    walked = F.aggregate(F.split(route, "/"), start, step, lambda s: F.when(~s["out"], F.array_join(s["taken"], "/")))
+    return F.when(F.lower(U.part(url, 1)) == "file", F.lit(None).cast("string")).otherwise(walked)
+
+
+def fetched_from(site: DataFrame, requests: DataFrame, base_url: str) -> DataFrame:
+    """A page for each requested ``url`` from ``read_site``: the file of its path, or the folder's ``index.html``; a row
+    with status 404 and a ``fetch_failed`` warning where there is none."""
+    asked = requests.select("url", site_path(F.col("url"), base_url).alias("_at")).withColumn("final_url", F.regexp_extract("url", "^([^?#]*)", 1))
+    folder = F.concat(F.col("_at"), F.when(F.col("_at") == "", "").otherwise("/"), F.lit("index.html"))
+    files = site.drop("url", "status", "warnings")
+    tried = asked.select("*", F.posexplode(F.array(F.col("_at"), folder)).alias("_k", "rel")).join(files, "rel")
+    best = tried.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("_k"))).where("_n = 1").drop("_n", "_k", "_at", "final_url", "rel")
+    found = F.col("content_hash").isNotNull()
+    out = asked.drop("_at").distinct().join(best, "url", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"status": F.when(found, 200).otherwise(404), "warnings": F.when(found, none).otherwise(F.array(F.lit("fetch_failed"))), "links": F.coalesce("links", none), "retrieved_at": F.lit(CAPTURED_AT)})
 
 
 def slug(name: Column) -> Column:
