@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import report as P
 from tessera.operators import scan as S
 from tessera.plans.base import query, table, values
 
@@ -77,3 +78,100 @@ def run_warnings(spark, sf_dir):
     login = pages.where("url LIKE '%/visa'").withColumns({"url": F.lit(_SITE + "/login"), "title": F.lit("Login"), "text": F.lit("")})
     covered = table(spark, sf_dir, "customer").selectExpr("c_custkey AS scan_id", "CASE WHEN c_custkey % 3 = 0 THEN 'fees' ELSE '' END AS missing")
     return S.run_warnings(covered, S.judged_pages(pages.where("url NOT LIKE '%/visa'").unionByName(login))).select("scan_id", "field", F.array_join("source_urls", " ").alias("urls"))
+
+
+_REPORT = """# University Admissions Evidence Report
+
+## Summary
+
+- Input URL: https://e.edu/
+- Retrieved at: 2026-06-01
+- Sources captured: 1
+- Evidence items: 3
+- Overall confidence: medium
+- Admissions verdict: not provided; this report is evidence only.
+
+## Core Field Coverage
+
+- Found: 2/9
+- Missing: visa, fees
+- Note: coverage reports field completeness; overall confidence reports evidence quality for extracted claims.
+
+## Source strategy
+
+- Strategies: `html_page`: 2, `pdf_document`: 1
+
+## Extraction diagnostics
+
+- Attempts: `extracted`: 1, `skipped`: 1
+
+## Missing reasons
+
+- `fees`: attempted_no_match
+
+## Discovered categories
+
+- `fees` — https://e.edu/0 (https://e.edu/0), score 3.
+- `visa` — T (https://e.edu/1), score 4.
+- `visa` — T (https://e.edu/2), score 5.
+
+## Facts
+
+- Undergraduate application entry: unknown
+### Application periods
+- unknown
+### English requirements
+- unknown
+### Required documents
+- unknown
+### Accepted qualifications
+- unknown
+### Programmes
+- Bachelor of Arts (source: https://e.edu/1)
+  - evidence: https://e.edu/1 — BA
+  - mathematics prerequisite: Mathematics required
+### Fees
+- tuition/fees: SGD 5
+  - evidence: https://e.edu/0 — Fee is SGD 5
+### Scholarships
+- unknown
+### Visa / student pass
+- unknown
+### Housing
+- unknown
+### Contacts
+- unknown
+
+## Warnings / Manual check
+
+- None
+
+## Sources
+
+- [T](https://e.edu/0) — `html` retrieved 2026-06-01
+
+## Evidence appendix
+
+- `/fees/0/value` https://e.edu/0: Fee is SGD 5
+- `/programmes/0/name` https://e.edu/1: BA
+- `/programmes/0/prerequisites/0/value` https://e.edu/1: math
+"""
+
+
+@query(f"SELECT c_custkey AS scan_id, replace(replace($${_REPORT}$$, 'https://e.edu/', 'https://e' || c_custkey || '.edu/'), CASE WHEN c_custkey % 2 = 0 THEN '- None' ELSE '-' END, CASE WHEN c_custkey % 2 = 0 THEN '- `stale_page` f: old' ELSE '-' END) AS body FROM customer")
+def report_markdown(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS scan_id", "'https://e' || c_custkey || '.edu/' AS u")
+    of = lambda *columns: c.selectExpr("scan_id", *columns)
+    pages = of("stack(3, 2, u || 2, 'T', 'visa', 5, 'pdf_document', 0, u || 0, CAST(NULL AS STRING), 'fees', 3, 'html_page', 1, u || 1, 'T', 'visa', 4, 'html_page') AS (page_order, url, title, category, score, strategy)")
+    claims = of("stack(3, 'fees', '/fees/0/value', 'tuition/fees', 'SGD 5', 'Fee is SGD 5', u || 0, 'programmes', '/programmes/0/name', 'programme', 'Bachelor of Arts', 'BA', u || 1, 'programme_prerequisites', '/programmes/0/prerequisites/0/value', 'mathematics prerequisite', 'Mathematics required', 'math', u || 1) AS (field, claim_path, label, value, snippet, source_url)")
+    lines = P.report_lines(
+        of("u AS input_url", "'2026-06-01' AS retrieved_at", "'medium' AS confidence"),
+        pages,
+        of("explode(array('skipped', 'extracted')) AS status"),
+        claims,
+        of("2 AS found", "'visa,fees' AS missing"),
+        of("0 AS position", "'stale_page' AS code", "'f' AS field", "'old' AS message").where("scan_id % 2 = 0"),
+        of("0 AS position", "u || 0 AS source_url", "'T' AS title", "'html' AS source_type", "'2026-06-01' AS retrieved_at"),
+        of("'fees' AS field", "'attempted_no_match' AS canonical_reason"),
+    )
+    return P.markdown(lines)
