@@ -799,3 +799,16 @@ PREREQUISITE_PATTERNS = (r"(?i)(Mathematics required[^.]*\.)", r"(?i)(requires M
 FEE_YEAR_PATTERN = r"(?i)\b(?:AY|academic year)\s*([0-9]{4}\s*[/\\-]\s*[0-9]{2,4})\b"
 COHORT_PATTERN = r"(?i)\(([0-9]{4}\s*-\s*[0-9]{2,4}\s+cohort)\)"
 FEE_ROW_MARKS = r"\.|\|| Left Column | Middle Column | Right Column "
+
+#: What each core field comes from: categories, gates, extractors and suggested paths; lists with commas between.
+FIELD_CAPABILITIES = (
+    ("undergraduate_application_entry", "/admissions/undergraduate_application_entry", "undergraduate_admissions", "requires_application_period", "source_url_from_application_period", "admissions.application_entry"),
+    ("application_periods", "/admissions/application_periods", "undergraduate_admissions,application_deadlines", "", "extract_deadline", "admissions.application_period,admissions.application_deadline"),
+    ("english_requirements", "/admissions/english_requirements", "international_requirements", "has_english_requirement_context,has_undergraduate_admissions_context", "extract_english_requirement", "admissions.requirements.english"),
+    ("accepted_qualifications", "/admissions/accepted_qualifications", "accepted_qualifications,international_requirements,programme_prerequisites", "", "extract_accepted_qualification,extract_prerequisite", "admissions.requirements.academic"),
+    ("required_documents", "/admissions/required_documents", "undergraduate_admissions", "", "extract_required_document", "admissions.required_documents"),
+    ("programmes", "/programmes", "programme_list,programme_prerequisites", "has_undergraduate_admissions_context", "extract_programmes,extract_programme", ""),
+    ("fees", "/fees", "fees", "has_undergraduate_fee_context,has_undergraduate_admissions_context", "extract_fee", "admissions.fees"),
+    ("scholarships", "/scholarships", "scholarships", "has_undergraduate_scholarship_context,has_undergraduate_admissions_context", "extract_scholarship", "admissions.scholarships"),
+    ("contacts", "/contacts", "contact", "has_admissions_contact_context,has_undergraduate_admissions_context", "extract_contact", "admissions.contact"),
+)

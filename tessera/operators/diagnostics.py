@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.rules import CORE_FIELDS
+from tessera.functions.rules import CORE_FIELDS, FIELD_CAPABILITIES
 
 
 def claim_index(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -73,3 +73,55 @@ def rehomed_prerequisites(rows: DataFrame) -> DataFrame:
     seen = F.coalesce(F.max(F.when(F.col("kind") == "programme", 1)).over(before), F.lit(0)) == 1
     target = F.when(F.col("kind") == "programme", "programme").when(seen, "/programmes/0/prerequisites").otherwise("/admissions/accepted_qualifications")
     return rows.withColumn("target", target)
+
+
+def capability_matrix(spark: SparkSession) -> DataFrame:
+    """What each core field comes from; nine rows, a dimension for diagnostics."""
+    rows = spark.createDataFrame(list(FIELD_CAPABILITIES), "field string, claim_path string, categories string, gates string, extractors string, suggested string")
+    listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "").alias(c)
+    return rows.select("field", "claim_path", *(listed(c) for c in ("categories", "gates", "extractors", "suggested")))
+
+
+def catalog_candidates(pages: DataFrame, attempts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(scan_id, url): sources that may list programmes, by the category of a page (scan_id, url, category; from the
+    classifier and from the strategy), by an attempt at the catalogue, or by a row of it (source_url)."""
+    listed = pages.where(F.col("category").isin("programme_list", "programme_prerequisites")).select("scan_id", "url")
+    tried = attempts.where("field = 'programme_catalog'").select("scan_id", "url")
+    named = rows.where("source_url <> ''").select("scan_id", F.col("source_url").alias("url"))
+    return listed.unionByName(tried).unionByName(named).where("url is not null").distinct()
+
+
+def filter_rollup(outcomes: DataFrame) -> DataFrame:
+    """Per scan the distinct values of each filter dimension, requests by outcome, and whether a budget was hit.
+    outcomes: scan_id, dimensions map<string, array<string>>, attempted, fetched, rejected (arrays), budget_hit."""
+    values = outcomes.select("scan_id", F.explode("dimensions").alias("k", "vs")).select("scan_id", "k", F.explode_outer("vs").alias("v"))
+    by_key = values.groupBy("scan_id", "k").agg(F.array_sort(F.collect_set(F.when(F.col("v") != "", F.col("v")))).alias("vs"))
+    dimensions = by_key.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("k", "vs"))).alias("dimensions"))
+    size = lambda c: F.sum(F.coalesce(F.array_size(c), F.lit(0))).alias(c)
+    counts = outcomes.groupBy("scan_id").agg(*(size(c) for c in ("attempted", "fetched", "rejected")), F.bool_or("budget_hit").alias("budget_hit"))
+    return counts.join(dimensions, "scan_id", "left")
+
+
+def applied_suggestions(suggested: DataFrame, sources: DataFrame, filled: DataFrame, names: DataFrame) -> DataFrame:
+    """``suggested`` (scan_id, position, claim_path, value, source_url; accepted ones) with ``write_status``. A path takes
+    its first suggestion and none where it is ``filled`` (scan_id, claim_path); catalogue names (``names``: scan_id,
+    name) take each new one."""
+    known = sources.select("scan_id", "source_url", F.lit(True).alias("_source")).distinct()
+    full = filled.select("scan_id", "claim_path", F.lit(True).alias("_full")).distinct()
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    had = names.select("scan_id", norm(F.col("name")).alias("_name"), F.lit(True).alias("_had")).distinct()
+    rows = suggested.withColumn("_name", norm(F.col("value"))).join(known, ["scan_id", "source_url"], "left").join(full, ["scan_id", "claim_path"], "left").join(had, ["scan_id", "_name"], "left")
+    name = F.col("claim_path") == "programme_catalog[].name"
+    live = F.col("_source").isNotNull() & F.col("_full").isNull()
+    before = lambda *key: Window.partitionBy("scan_id", "claim_path", *key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda *key: F.coalesce(F.max(live).over(before(*key)), F.lit(False))
+    rows = rows.withColumns({"_first": ~earlier(), "_new": F.col("_had").isNull() & ~earlier("_name")})
+    single = F.col("claim_path").startswith("admissions.")
+    status = (
+        F.when(F.col("_source").isNull(), "source_record_missing")
+        .when(F.col("_full").isNotNull() | (single & ~F.col("_first")), "existing_value")
+        .when(name & ~F.col("_new"), "duplicate_value")
+        .when(single | name, "applied")
+        .otherwise("unsupported_claim_path_for_write")
+    )
+    return rows.withColumn("write_status", status).drop("_name", "_source", "_full", "_had", "_first", "_new")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import diagnostics as D
 from tessera.operators import report as P
 from tessera.operators import scan as S
 from tessera.plans.base import query, table, values
@@ -175,3 +176,46 @@ def report_markdown(spark, sf_dir):
         of("'fees' AS field", "'attempted_no_match' AS canonical_reason"),
     )
     return P.markdown(lines)
+
+
+@query("SELECT l_suppkey AS scan_id, 'u' || l_partkey AS url FROM lineitem WHERE l_linenumber <= 2 UNION SELECT l_suppkey, 'a' || l_partkey FROM lineitem WHERE l_linenumber IN (3, 4) UNION SELECT l_suppkey, 'r' || l_partkey FROM lineitem WHERE l_linenumber > 4")
+def catalog_candidate_sources(spark, sf_dir):
+    """Pages of two categories, attempts and rows name sources; other categories, fields and empty addresses don't."""
+    d = table(spark, sf_dir, "lineitem")
+    pages = d.selectExpr("l_suppkey AS scan_id", "'u' || l_partkey AS url", "CASE l_linenumber WHEN 1 THEN 'programme_list' WHEN 2 THEN 'programme_prerequisites' ELSE 'fees' END AS category")
+    attempts = d.selectExpr("l_suppkey AS scan_id", "'a' || l_partkey AS url", "CASE WHEN l_linenumber IN (3, 4) THEN 'programme_catalog' ELSE 'fees' END AS field")
+    rows = d.selectExpr("l_suppkey AS scan_id", "CASE WHEN l_linenumber > 4 THEN 'r' || l_partkey ELSE '' END AS source_url")
+    return D.catalog_candidates(pages, attempts, rows)
+
+
+@query("SELECT o_custkey AS scan_id, CAST(2 * count(*) AS BIGINT) AS attempted, CAST(count(*) FILTER (WHERE o_orderkey % 2 = 0) AS BIGINT) AS fetched, CAST(0 AS BIGINT) AS rejected, bool_or(o_orderkey % 5 = 0) AS budget_hit, string_agg(DISTINCT 'v' || o_orderkey % 3, ',' ORDER BY 'v' || o_orderkey % 3) AS levels FROM orders GROUP BY o_custkey")
+def filter_rollup(spark, sf_dir):
+    outcomes = table(spark, sf_dir, "orders").selectExpr("o_custkey AS scan_id", "map('level', array('v' || o_orderkey % 3, '', NULL)) AS dimensions", "array('a', 'b') AS attempted", "CASE WHEN o_orderkey % 2 = 0 THEN array('a') END AS fetched", "CAST(array() AS array<string>) AS rejected", "o_orderkey % 5 = 0 AS budget_hit")
+    return D.filter_rollup(outcomes).select("scan_id", "attempted", "fetched", "rejected", "budget_hit", F.array_join(F.flatten(F.transform("dimensions", lambda d: d["vs"])), ",").alias("levels"))
+
+
+@query("SELECT * FROM (VALUES ('undergraduate_application_entry', 1, 1), ('application_periods', 2, 2), ('english_requirements', 1, 1), ('accepted_qualifications', 3, 1), ('required_documents', 1, 1), ('programmes', 2, 0), ('fees', 1, 1), ('scholarships', 1, 1), ('contacts', 1, 1)) AS t(field, categories, suggested)")
+def capability_matrix(spark, sf_dir):
+    return D.capability_matrix(spark).select("field", F.size("categories").alias("categories"), F.size("suggested").alias("suggested"))
+
+
+#: Suggestions of each scan in order: path, value, whether its source is known, and what becomes of it.
+_SUGGESTED = (
+    ("admissions.fees", "a", False, "source_record_missing"),
+    ("admissions.fees", "b", True, "applied"),
+    ("admissions.fees", "c", True, "existing_value"),
+    ("admissions.contact", "d", True, "existing_value"),
+    ("programme_catalog[].name", "Old  Name", True, "duplicate_value"),
+    ("programme_catalog[].name", "New", True, "applied"),
+    ("programme_catalog[].name", "new ", True, "duplicate_value"),
+    ("programme_catalog[].degree", "e", True, "unsupported_claim_path_for_write"),
+)
+
+
+@query(f"SELECT c_custkey AS scan_id, position, status AS write_status FROM customer, {values([(i, s) for i, (*_, s) in enumerate(_SUGGESTED)], 'position, status')} AS t")
+def suggestions_written(spark, sf_dir):
+    scans = table(spark, sf_dir, "customer").selectExpr("c_custkey AS scan_id")
+    rows = spark.createDataFrame([(i, p, v, "s" if known else "t") for i, (p, v, known, _) in enumerate(_SUGGESTED)], "position int, claim_path string, value string, source_url string")
+    given = scans.crossJoin(F.broadcast(rows))  # eight rows
+    out = D.applied_suggestions(given, scans.withColumn("source_url", F.lit("s")), scans.withColumn("claim_path", F.lit("admissions.contact")), scans.withColumn("name", F.lit("old name")))
+    return out.select("scan_id", "position", "write_status")
