@@ -21,8 +21,8 @@ def _head(text: Column, n: int) -> Column:
 def undergraduate_context(url: Column, title: Column, text: Column) -> Column:
     path, named = F.lower(U.path(url)), _spaced(title, _head(text, 1200))
     explicit = contains_any(path, R.EXPLICIT_UNDERGRAD_PATH_HINTS)
-    topical = contains_any(path, ("/admission", "/admissions", "/apply", "/requirements", "/qualifications", "/fees-and-scholarships"))
-    level = contains_any(named, ("undergraduate", "jupas", "non-jupas", "bachelor", "freshmen", "freshman"))
+    topical = contains_any(path, R.ADMISSIONS_TOPIC_PATHS)
+    level = contains_any(named, R.UNDERGRADUATE_LEVEL_TERMS)
     phrase = F.lower(F.coalesce(title, F.lit(""))).contains("undergraduate admissions") | F.lower(_head(text, 1200)).contains("undergraduate admissions")
     general = F.lower(url).contains("admissions") & named.contains("undergraduate")
     return F.when(explicit, True).when(contains_any(path, R.NON_ADMISSIONS_PATH_HINTS), False).otherwise((topical & level) | phrase | general)
@@ -30,19 +30,19 @@ def undergraduate_context(url: Column, title: Column, text: Column) -> Column:
 
 def fee_context(url: Column, title: Column, text: Column) -> Column:
     place = F.concat_ws(" ", url, F.lower(F.coalesce(title, F.lit(""))), F.lower(U.path(url)))
-    other = contains_any(place, ("hall fee", "hall fees", "phd fellowship", "graduate tuition", "postgraduate", "residential life", "/graduate", "/postgraduate", "/current-students", "/sao/", "/hall-admission"))
-    return undergraduate_context(url, title, text) & ~other & contains_any(_spaced(url, title, _head(text, 1800)), ("tuition", "application fee", "fees", "fee"))
+    other = contains_any(place, R.FEE_CONTEXT_NOT)
+    return undergraduate_context(url, title, text) & ~other & contains_any(_spaced(url, title, _head(text, 1800)), R.FEE_CONTEXT_TERMS)
 
 
 def scholarship_context(url: Column, title: Column, text: Column) -> Column:
     hay = _spaced(url, title, _head(text, 1800))
-    return undergraduate_context(url, title, text) & ~contains_any(hay, ("phd fellowship", "graduate school", "postgraduate", "research postgraduate")) & contains_any(hay, ("scholarship", "financial aid"))
+    return undergraduate_context(url, title, text) & ~contains_any(hay, R.SCHOLARSHIP_CONTEXT_NOT) & contains_any(hay, R.SCHOLARSHIP_CONTEXT_TERMS)
 
 
 def contact_context(url: Column, title: Column, text: Column) -> Column:
     hay = _spaced(url, title, _head(text, 1600))
-    other = contains_any(hay, ("privacy", "personal information collection statement", "data access and correction", "/contact-us/form"))
-    return undergraduate_context(url, title, text) & ~other & contains_any(hay, ("admissions office", "admission matters", "admissions matters", "contact us", "enquiry", "enquiries"))
+    other = contains_any(hay, R.CONTACT_CONTEXT_NOT)
+    return undergraduate_context(url, title, text) & ~other & contains_any(hay, R.CONTACT_CONTEXT_TERMS)
 
 
 def english_context(url: Column, title: Column, text: Column) -> Column:
@@ -60,7 +60,7 @@ def is_challenge(url: Column, title: Column, text: Column) -> Column:
 
 
 def source_strategy(source_type: Column, url: Column, title: Column, text: Column, category: Column) -> Column:
-    portal = contains_any(_spaced(url, title), R.PORTAL_TERMS) | contains_any(F.lower(_head(text, 1200)), ("please log in", "sign in to"))
+    portal = contains_any(_spaced(url, title), R.PORTAL_TERMS) | contains_any(F.lower(_head(text, 1200)), R.PORTAL_TEXT_TERMS)
     return F.when(is_challenge(url, title, text), "blocked_or_challenge").when(portal, "application_portal").when(source_type == "pdf", "pdf_document").when(source_type == "json", "json_api").when(category == "irrelevant", "irrelevant").when(source_type == "html", "html_page").otherwise("other")
 
 
@@ -85,9 +85,9 @@ def classified(url: Column, title: Column, text: Column) -> Column:
     hay, lower_url, lower_title = _spaced(url, title, text), F.lower(url), F.lower(F.coalesce(title, F.lit("")))
     negatives = count_contained(hay, R.CLASSIFIER_NEGATIVE)
     strong = contains_any(lower_url, R.STRONG_ADMISSIONS_SIGNALS) | contains_any(lower_title, R.STRONG_ADMISSIONS_SIGNALS)
-    news = lower_title.contains("news") & ~contains_any(lower_title, ("admission", "undergraduate", "scholarship"))
-    off = (negatives > 0) & ~strong & F.when(contains_any(lower_url, R.STRONG_IRRELEVANT_PATHS) | news, True).when(contains_any(hay, ("undergraduate admissions", "admissions office")), False).otherwise(negatives >= 3)
-    elsewhere = contains_any(_spaced(url, title), ("/current-students", "/education", "/research", "/gs/", "/graduate", "/postgraduate", "/sao/", "/student-affairs", "/hall-admission", "/accommodation", "/search-results", "/contact-us/form"))
+    news = lower_title.contains("news") & ~contains_any(lower_title, R.NEWS_EXCEPTION_TERMS)
+    off = (negatives > 0) & ~strong & F.when(contains_any(lower_url, R.STRONG_IRRELEVANT_PATHS) | news, True).when(contains_any(hay, R.ADMISSIONS_PAGE_TERMS), False).otherwise(negatives >= 3)
+    elsewhere = contains_any(_spaced(url, title), R.CONTEXTUAL_IRRELEVANT_TERMS)
     scores = category_scores(url, title, text)
     ranked = F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, s) in enumerate(scores.items())))
     best = F.array_max(ranked)

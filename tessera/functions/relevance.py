@@ -11,9 +11,6 @@ from tessera.functions import rules as R
 from tessera.functions import urls as U
 from tessera.functions.columns import contained, contains_any, count_contained, joined
 
-_ADMISSIONS_PATHS = ("/admission", "/undergraduate", "/apply", "/programme", "/program", "/fee", "/scholarship", "/international", "/requirement", "/contact")
-_PDF_TERMS = ("admission", "programme", "requirement", "prospectus")
-
 
 def _off_topic(path: Column) -> Column:
     return contains_any(path, R.NON_ADMISSIONS_PATH_HINTS) & ~contains_any(path, R.UNDERGRAD_ADMISSIONS_PATH_HINTS)
@@ -30,10 +27,10 @@ def rule_score(url: Column, title: Column, text: Column) -> Column:
         2 * count_contained(hay, R.POSITIVE_KEYWORDS)
         - 3 * count_contained(hay, R.NEGATIVE_KEYWORDS)
         + points(_off_topic(path), -12)
-        + points(contains_any(path, _ADMISSIONS_PATHS), 6)
+        + points(contains_any(path, R.ADMISSIONS_SCORE_PATHS), 6)
         + points(contains_any(path, R.PROGRAMME_SOURCE_PATH_HINTS), 6)
         + points(contains_any(path, R.PATH_NOISE_HINTS), -8)
-        + points(U.is_pdf(url) & contains_any(hay, _PDF_TERMS), 4)
+        + points(U.is_pdf(url) & contains_any(hay, R.PDF_SCORE_TERMS), 4)
         + points(_endpoint(path), 3)
         + points(U.is_low_value(url), -100)
     ).cast("int")
@@ -100,7 +97,7 @@ def rule_signals(url: Column, title: Column, text: Column) -> Column:
             contained(path, R.PATH_RELEVANCE_HINTS, "path_relevance_hint:"),
             contained(path, R.PROGRAMME_SOURCE_PATH_HINTS, "programme_source_path_hint:"),
             contained(path, R.PATH_NOISE_HINTS, "path_noise_hint:"),
-            one(U.is_pdf(url) & contains_any(hay, _PDF_TERMS), "pdf_admissions_hint"),
+            one(U.is_pdf(url) & contains_any(hay, R.PDF_SCORE_TERMS), "pdf_admissions_hint"),
             one(_endpoint(path), "api_endpoint_hint"),
         )
     )

@@ -812,3 +812,23 @@ FIELD_CAPABILITIES = (
     ("scholarships", "/scholarships", "scholarships", "has_undergraduate_scholarship_context,has_undergraduate_admissions_context", "extract_scholarship", "admissions.scholarships"),
     ("contacts", "/contacts", "contact", "has_admissions_contact_context,has_undergraduate_admissions_context", "extract_contact", "admissions.contact"),
 )
+
+#: Context gates, portals and page categories: the terms of each test.
+ADMISSIONS_TOPIC_PATHS = ("/admission", "/admissions", "/apply", "/requirements", "/qualifications", "/fees-and-scholarships")
+UNDERGRADUATE_LEVEL_TERMS = ("undergraduate", "jupas", "non-jupas", "bachelor", "freshmen", "freshman")
+FEE_CONTEXT_NOT = ("hall fee", "hall fees", "phd fellowship", "graduate tuition", "postgraduate", "residential life", "/graduate", "/postgraduate", "/current-students", "/sao/", "/hall-admission")
+FEE_CONTEXT_TERMS = ("tuition", "application fee", "fees", "fee")
+SCHOLARSHIP_CONTEXT_NOT = ("phd fellowship", "graduate school", "postgraduate", "research postgraduate")
+SCHOLARSHIP_CONTEXT_TERMS = ("scholarship", "financial aid")
+CONTACT_CONTEXT_NOT = ("privacy", "personal information collection statement", "data access and correction", "/contact-us/form")
+CONTACT_CONTEXT_TERMS = ("admissions office", "admission matters", "admissions matters", "contact us", "enquiry", "enquiries")
+PORTAL_TEXT_TERMS = ("please log in", "sign in to")
+NEWS_EXCEPTION_TERMS = ("admission", "undergraduate", "scholarship")
+ADMISSIONS_PAGE_TERMS = ("undergraduate admissions", "admissions office")
+CONTEXTUAL_IRRELEVANT_TERMS = ("/current-students", "/education", "/research", "/gs/", "/graduate", "/postgraduate", "/sao/", "/student-affairs", "/hall-admission", "/accommodation", "/search-results", "/contact-us/form")
+ADMISSIONS_SCORE_PATHS = ("/admission", "/undergraduate", "/apply", "/programme", "/program", "/fee", "/scholarship", "/international", "/requirement", "/contact")
+PDF_SCORE_TERMS = ("admission", "programme", "requirement", "prospectus")
+
+#: HTML that isn't content: tags, and what names furniture in attributes.
+DROPPED_TAGS = ("script", "style", "noscript", "svg", "canvas", "iframe", "nav", "header", "footer", "aside")
+NOISE_ATTRIBUTE_PATTERN = "breadcrumb|cookie|consent|banner|global|nav|menu|mega|header|footer|sidebar|social|share|skip|search|modal|popup|toolbar|utility"

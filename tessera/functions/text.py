@@ -7,22 +7,27 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import rules as R
 from tessera.functions import urls as U
 from tessera.functions.columns import bound, nullif_empty
 
 #: Characters of named entities, with and without the semicolon; those of numbers whose meaning is that of windows-1252.
 _NAMED = dict(html5)
+_COMMON = {n: _NAMED[n] for n in ("amp;", "nbsp;", "lt;", "gt;", "quot;", "apos;", "ndash;", "mdash;", "rsquo;", "lsquo;", "ldquo;", "rdquo;", "copy;", "middot;", "bull;", "hellip;", "eacute;")}  # looked up first
 _LEGACY = "|".join(sorted((n for n in _NAMED if not n.endswith(";")), key=len, reverse=True))
 _WINDOWS = {str(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)} | {"0": "\ufffd", "13": "\r"}
 _ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_LEGACY}))"
-_DROPPED = ("script", "style", "noscript", "svg", "canvas", "iframe", "nav", "header", "footer", "aside")
-_NOISE = "breadcrumb|cookie|consent|banner|global|nav|menu|mega|header|footer|sidebar|social|share|skip|search|modal|popup|toolbar|utility"
+
+
+def _mapped(values: dict[str, str]) -> Column:
+    """A constant map from one literal; thousands of literals take seconds to hand over."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in values.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def _code_point(number: Column) -> Column:
     """The character of a decimal code point; the replacement character where there is none."""
     code = number.try_cast("long")
-    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in _WINDOWS.items() for x in pair)), code.cast("string"))
+    known = F.try_element_at(_mapped(_WINDOWS), code.cast("string"))
     fits = code.isNotNull() & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     hidden = code.between(1, 8) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code == 0xB) | ((code % 0x10000) >= 0xFFFE)
@@ -30,12 +35,12 @@ def _code_point(number: Column) -> Column:
 
 
 def _resolved(entity: Column) -> Column:
-    named = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
+    named = _mapped(_NAMED)
     number = F.regexp_extract(entity, "^&#([0-9]+)", 1)
     hexed = F.regexp_extract(entity, "^&#[xX]([0-9A-Fa-f]+)", 1)
     name = F.substring(entity, 2, 64)
     lead = F.regexp_extract(name, f"^({_LEGACY})", 1)
-    whole = F.try_element_at(named, name)
+    whole = F.coalesce(F.try_element_at(_mapped(_COMMON), name), F.try_element_at(named, name))
     part = F.when(lead != "", F.concat(F.try_element_at(named, lead), F.substr(name, F.length(lead) + 1))).otherwise(entity)
     return F.when(number != "", _code_point(number)).when(hexed != "", _code_point(F.conv(hexed, 16, 10))).otherwise(F.coalesce(whole, part))
 
@@ -73,9 +78,9 @@ def main_fragment(html: Column) -> Column:
 def without_noise(html: Column) -> Column:
     """Comments, page furniture and blocks whose attributes name furniture, until nothing more goes."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in _DROPPED:
+    for tag in R.DROPPED_TAGS:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    block = rf"(?is)<(?<tag>div|section|form|ul|ol)\b[^>]*(?:class|id|role|aria-label)\s*=\s*[\"'][^\"']*(?:{_NOISE})[^\"']*[\"'][^>]*>.*?</\k<tag>>"
+    block = rf"(?is)<(?<tag>div|section|form|ul|ol)\b[^>]*(?:class|id|role|aria-label)\s*=\s*[\"'][^\"']*(?:{R.NOISE_ATTRIBUTE_PATTERN})[^\"']*[\"'][^>]*>.*?</\k<tag>>"
 
     def settled(t: Column) -> Column:
         """Each pass takes a block at least, so there are no more passes than blocks; the rest of them does nothing."""

@@ -12,8 +12,10 @@ from tessera.functions.rules import (
     DISALLOWED_SOURCE_PLAN_PORTAL_TERMS,
     LOW_VALUE_DOCUMENT_TERMS,
     SENSITIVE_QUERY_KEYS,
+    SITEMAP_PROBE_PATHS,
     STATIC_RESOURCE_SUFFIXES,
     TRACKING_QUERY_NAMES,
+    TRACKING_QUERY_PREFIXES,
 )
 
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
@@ -73,7 +75,7 @@ def encoded_query(pairs: Column) -> Column:
 
 
 def _is_tracking(key: Column) -> Column:
-    return F.lower(key).isin(*TRACKING_QUERY_NAMES) | F.lower(key).startswith("utm_")
+    return F.lower(key).isin(*TRACKING_QUERY_NAMES) | ends_with_any(F.reverse(F.lower(key)), [p[::-1] for p in TRACKING_QUERY_PREFIXES])
 
 
 def without_dots(path_: Column) -> Column:
@@ -122,6 +124,13 @@ def canonical_url(url: Column, base: Column | None = None) -> Column:
     return of(url) if base is None else bound(joined(url, base), of)
 
 
+def sitemap_probes(seed: Column) -> Column:
+    """Addresses where a web site's sitemaps may be; none of another scheme."""
+    origin = F.concat(F.lower(part(seed, 1)), F.lit("://"), part(seed, 2))
+    web = F.lower(part(seed, 1)).isin("http", "https") & (part(seed, 2) != "")
+    return F.when(web, F.array(*(canonical_url(F.concat(origin, F.lit(p))) for p in SITEMAP_PROBE_PATHS))).otherwise(F.array().cast("array<string>"))
+
+
 def _lower_path(url: Column) -> Column:
     """Percent-decoded; a plus stays a plus."""
     return F.lower(F.coalesce(F.try_url_decode(F.replace(path(url), F.lit("+"), F.lit("%2B"))), path(url)))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import urls as U
+from tessera.functions.columns import nullif_empty
 from tessera.functions.rules import CORE_FIELDS, FIELD_CAPABILITIES
+from tessera.operators.captures import low_row_yield
 
 
 def claim_index(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -125,3 +128,42 @@ def applied_suggestions(suggested: DataFrame, sources: DataFrame, filled: DataFr
         .otherwise("unsupported_claim_path_for_write")
     )
     return rows.withColumn("write_status", status).drop("_name", "_source", "_full", "_had", "_first", "_new")
+
+
+def planned_status(accepted: DataFrame, crawled: DataFrame) -> DataFrame:
+    """``accepted`` planner addresses (.., scan_id, url) with ``crawl_status`` after the second pass: whether their
+    canonical form is among the captured ones (scan_id, url)."""
+    seen = crawled.select(F.col("scan_id").alias("_scan"), U.canonical_url(F.col("url")).alias("_key"), F.lit(True).alias("_seen")).distinct()
+    rows = accepted.withColumn("_own", U.canonical_url(F.col("url"))).join(seen, (F.col("scan_id") == F.col("_scan")) & (F.col("_own") == F.col("_key")), "left")
+    return rows.withColumn("crawl_status", F.when(F.col("_seen"), "crawled").otherwise("budget_skipped")).drop("_scan", "_key", "_seen", "_own")
+
+
+def catalog_summary(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per scan of catalogue ``rows`` (scan_id, position, name, category, faculty_or_school, parse_status, source_url,
+    warnings) and candidate sources (scan_id, url): counts by type, faculty, status and source, duplicate names as they
+    first occur, rows to review, warnings, rows to a source and whether that is few."""
+    unparsed = F.col("parse_status") != "parsed"
+    one = lambda test: F.sum(test.cast("long"))
+    base = rows.groupBy("scan_id").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("source_url").alias("sources"),
+        one(unparsed).alias("raw_rows"),
+        one(unparsed | (F.size("warnings") > 0)).alias("to_review"),
+        F.sum(F.size("warnings")).cast("long").alias("warnings"),
+    )
+
+    def counted(column: str) -> DataFrame:
+        named = F.coalesce(nullif_empty(F.col(column)), F.lit("unknown")).alias("k")
+        by = rows.groupBy("scan_id", named).agg(F.count("*").alias("n"))
+        return by.groupBy("scan_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(f"by_{column}"))
+
+    norm = F.lower(F.trim(F.regexp_replace("name", r"(?U)\s+", " ")))
+    names = rows.groupBy("scan_id", norm.alias("k")).agg(F.min_by("name", "position").alias("name"), F.count("*").alias("n")).where("n > 1 and k <> ''")
+    duplicates = names.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "name", "n"))).alias("duplicate_names"), F.sum(F.col("n") - 1).alias("duplicates"))
+    sources = candidates.distinct().groupBy("scan_id").agg(F.count("*").alias("candidates"))
+    out = base.join(sources, "scan_id", "full")
+    for column in ("category", "faculty_or_school", "parse_status"):
+        out = out.join(counted(column), "scan_id", "left")
+    out = out.join(duplicates, "scan_id", "left").na.fill(0, ["rows", "sources", "raw_rows", "to_review", "warnings", "candidates", "duplicates"])
+    ratio = F.when(F.col("candidates") > 0, F.round(F.col("rows") / F.col("candidates"), 3))
+    return out.withColumns({"rows_to_candidates": ratio, "low_row_yield": low_row_yield(F.col("candidates"), F.col("rows"))})

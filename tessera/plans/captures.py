@@ -164,35 +164,6 @@ def links_absolute(spark, sf_dir):
     return d.select("page_id", F.explode(F.transform(T.links(F.col("html")), lambda x: T.absolute(x, F.lit("https://h.edu/a/b.html")))).alias("link"))
 
 
-@query("SELECT c_custkey, field FROM (SELECT c_custkey, unnest(['fees', 'visa', 'contacts']) AS field FROM customer) WHERE NOT (field = 'fees' AND c_custkey % 2 = 0) AND NOT (field = 'visa' AND c_custkey % 3 <> 0)")
-def fill_missing(spark, sf_dir):
-    """Suggested facts only for fields that have no claim."""
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    suggested = c.select("c_custkey", F.explode(F.array(F.lit("fees"), F.lit("visa"), F.lit("contacts"))).alias("field"))
-    known = c.where("c_custkey % 2 = 0").withColumn("field", F.lit("fees")).union(c.where("c_custkey % 3 <> 0").withColumn("field", F.lit("visa")))
-    return suggested.join(known, ["c_custkey", "field"], "left_anti")
-
-
-@query("SELECT o_orderkey, status FROM (SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) THEN 'crawled' ELSE 'budget_skipped' END AS status FROM orders)")
-def second_pass_status(spark, sf_dir):
-    accepted = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("HTTPS://E.edu:443/p/"), "o_orderkey", F.lit("/")).alias("url"))
-    crawled = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("https://e.edu/p/"), "l_orderkey").alias("url")).distinct()
-    joined = accepted.withColumn("key", U.canonical_url(F.col("url"))).join(crawled.select(U.canonical_url(F.col("url")).alias("key"), F.lit(True).alias("hit")), "key", "left")
-    return joined.select("o_orderkey", F.when(F.col("hit"), "crawled").otherwise("budget_skipped").alias("status"))
-
-
-@query("SELECT scan_id, section, string_agg(line, chr(10) ORDER BY ord, line) AS body FROM (SELECT o_custkey AS scan_id, o_orderpriority AS section, o_orderkey AS ord, '- order ' || o_orderkey || ': ' || o_orderstatus AS line FROM orders) GROUP BY scan_id, section")
-def report_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").selectExpr("o_custkey AS scan_id", "o_orderpriority AS section", "o_orderkey AS ord", "'- order ' || o_orderkey || ': ' || o_orderstatus AS line")
-    return d.groupBy("scan_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
-
-
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'deadline') THEN 'application_deadlines' WHEN contains(lower(text), 'licen') THEN 'contact' ELSE 'irrelevant' END AS category FROM documents")
-def assist_mock_category(spark, sf_dir):
-    lower = F.lower("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(lower.contains("deadline"), "application_deadlines").when(lower.contains("licen"), "contact").otherwise("irrelevant").alias("category"))
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 IN (0, 3)")
 def ambiguous_group(spark, sf_dir):
     d = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 3 = 0 AS requires", "CASE o_orderkey % 4 WHEN 0 THEN 'unknown' WHEN 3 THEN NULL ELSE 'local' END AS applicant_group")

@@ -335,11 +335,6 @@ def catalog_duplicates(spark, sf_dir):
     return K.duplicate_rank(d, [], ["p_partkey"], award="award", faculty="faculty").select("p_partkey", "duplicate_index")
 
 
-@query("SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_type), (p_brand), ())")
-def catalog_summary(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupingSets([["p_type"], ["p_brand"], []], "p_type", "p_brand").agg(F.count("*").alias("n"))
-
-
 #: Links from each customer to its orders, from each order to another customer.
 _EDGE = "(SELECT o_custkey AS a, -o_orderkey AS b FROM orders UNION SELECT -o_orderkey, (o_custkey * 7 + o_orderkey) % (SELECT max(c_custkey) FROM customer) + 1 FROM orders)"
 

@@ -274,3 +274,14 @@ _FILE = "'https://e.edu/f' || " + case("l_orderkey", "'.pdf'", "'.html'", "'.jso
 def source_type(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").selectExpr(f"{_KIND} AS content_type", "l_orderkey % 4 AS file_type", f"{_FILE} AS url")
     return d.withColumn("source_type", U.source_type(F.col("url"), F.col("content_type"))).groupBy("content_type", "file_type", "source_type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, unnest(['https://' || {sql_host('url')} || p FOR p IN [{', '.join(map(text, R.SITEMAP_PROBE_PATHS))}]]) AS probe FROM pages")
+def sitemap_probes(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.explode(U.sitemap_probes(F.concat(F.lit("HTTPS://"), U.host(F.col("url")), F.lit("/x")))).alias("probe"))
+
+
+@query("SELECT page_id, unnest(['https://h.edu/a?x=1', 'https://h.edu/s/b', 'http://o.edu/']) AS loc FROM pages")
+def sitemap_urls(spark, sf_dir):
+    xml = "<urlset><loc> /a/?utm_x=1&amp;x=1 </loc><LOC>b#f</LOC><loc>https://h.edu/a?x=1</loc><loc>HTTP://u@o.edu:80</loc>"
+    return pages(spark, sf_dir).select("page_id", F.explode(T.sitemap_urls(F.lit(xml), F.lit("https://h.edu/s/sitemap.xml"))).alias("loc"))

@@ -219,3 +219,24 @@ def suggestions_written(spark, sf_dir):
     given = scans.crossJoin(F.broadcast(rows))  # eight rows
     out = D.applied_suggestions(given, scans.withColumn("source_url", F.lit("s")), scans.withColumn("claim_path", F.lit("admissions.contact")), scans.withColumn("name", F.lit("old name")))
     return out.select("scan_id", "position", "write_status")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_custkey % 2 = 0 THEN 'crawled' ELSE 'budget_skipped' END AS crawl_status FROM orders")
+def second_pass_status(spark, sf_dir):
+    """Planner addresses in another spelling than the captured ones, half of them of another scan."""
+    o = table(spark, sf_dir, "orders")
+    accepted = o.selectExpr("o_custkey % 2 AS scan_id", "o_orderkey", "'HTTPS://E.edu:443/p/' || o_orderkey || '/?utm_x=1' AS url")
+    crawled = table(spark, sf_dir, "lineitem").where("l_quantity > 45").selectExpr("0 AS scan_id", "'https://e.edu/p/' || l_orderkey AS url")
+    return D.planned_status(accepted, crawled).select("o_orderkey", "crawl_status")
+
+
+@query(
+    "WITH r AS (SELECT s_nationkey AS scan_id, s_suppkey, 'N' || s_suppkey % 3 AS name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'minor' END AS category, s_suppkey % 5 = 0 AS raw, s_suppkey % 2 AS w FROM supplier), d AS (SELECT scan_id, count(*) AS n FROM r GROUP BY scan_id, name HAVING count(*) > 1), "
+    "g AS (SELECT scan_id, count(*) AS rows, count(*) FILTER (WHERE raw) AS raw_rows, count(*) FILTER (WHERE raw OR w > 0) AS to_review, CAST(sum(w) AS BIGINT) AS warnings, count(*) FILTER (WHERE category IS NULL) AS unknown FROM r GROUP BY scan_id) "
+    "SELECT n_nationkey AS scan_id, coalesce(rows, 0) AS rows, coalesce(raw_rows, 0) AS raw_rows, coalesce(to_review, 0) AS to_review, coalesce(warnings, 0) AS warnings, coalesce(unknown, 0) AS unknown, CAST(coalesce((SELECT sum(n - 1) FROM d WHERE d.scan_id = n_nationkey), 0) AS BIGINT) AS duplicates, round(coalesce(rows, 0) / 5, 3) AS rows_to_candidates, coalesce(rows, 0) <= 2 AS low_row_yield FROM nation LEFT JOIN g ON n_nationkey = scan_id"
+)
+def catalog_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS scan_id", "s_suppkey AS position", "CASE WHEN s_suppkey % 2 = 0 THEN 'n' ELSE ' N' END || s_suppkey % 3 AS name", "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'minor' END AS category", "'F' AS faculty_or_school", "CASE WHEN s_suppkey % 5 = 0 THEN 'raw_needs_manual_review' ELSE 'parsed' END AS parse_status", "'u' AS source_url", "CASE WHEN s_suppkey % 2 = 1 THEN array('missing_faculty') ELSE CAST(array() AS array<string>) END AS warnings")
+    candidates = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS scan_id", "explode(array('a', 'b', 'c', 'd', 'e', 'e')) AS url")
+    unknown = F.coalesce(F.try_element_at("by_category", F.lit("unknown")), F.lit(0)).alias("unknown")
+    return D.catalog_summary(rows, candidates).select("scan_id", "rows", "raw_rows", "to_review", "warnings", unknown, "duplicates", "rows_to_candidates", "low_row_yield")
