@@ -42,11 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a work table to the shared folder and read it back, which cuts its lineage."""
+    """Write a work table to the shared folder and read it back, which cuts its lineage; what was shuffled for it goes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
     released(spark)
@@ -54,7 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now; it acts on the driver's garbage collection."""
+    """Let Spark's cleaner remove the shuffle files of finished checkpoints now; it acts on the driver's garbage
+    collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
