@@ -167,3 +167,29 @@ def catalog_summary(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     out = out.join(duplicates, "scan_id", "left").na.fill(0, ["rows", "sources", "raw_rows", "to_review", "warnings", "candidates", "duplicates"])
     ratio = F.when(F.col("candidates") > 0, F.round(F.col("rows") / F.col("candidates"), 3))
     return out.withColumns({"rows_to_candidates": ratio, "low_row_yield": low_row_yield(F.col("candidates"), F.col("rows"))})
+
+
+def api_groups(entries: DataFrame) -> DataFrame:
+    """Per scan and paged endpoint what its answers gave. entries: scan_id, url, candidate_objects, accepted, rejected,
+    total or null, pages or null, complete, incomplete, budget_hit. A group is incomplete if a budget was hit, rows lack
+    to its total, or, with no total, an answer says so and none says it is complete."""
+    total, accepted = F.col("total"), F.col("accepted")
+    groups = entries.groupBy("scan_id", F.coalesce(U.page_group_url(F.col("url")), F.lit("unknown")).alias("group_url")).agg(
+        *(F.sum(c).alias(c) for c in ("candidate_objects", "accepted", "rejected")),
+        F.max("total").alias("total"),
+        F.max(F.greatest(F.coalesce("pages", F.lit(0)), F.lit(1))).alias("pages"),
+        *(F.bool_or(c).alias(c) for c in ("complete", "incomplete", "budget_hit")),
+        F.count("*").alias("responses"),
+    )
+    lacks = F.col("budget_hit") | F.when(total.isNotNull(), accepted < total).otherwise(F.col("incomplete") & ~F.col("complete"))
+    whole = F.when(total.isNotNull(), accepted >= total).otherwise(F.col("complete"))
+    return groups.withColumns({"is_incomplete": lacks, "is_complete": whole})
+
+
+def api_rollup(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per scan its endpoints together, and how many of the catalogue's ``rows`` (scan_id) came from them."""
+    number = lambda c: F.sum(c).alias(c)
+    out = groups.groupBy("scan_id").agg(*(number(c) for c in ("responses", "pages", "candidate_objects", "accepted", "rejected", "total")), F.bool_or("is_incomplete").alias("incomplete"), F.bool_and("is_complete").alias("_whole"))
+    made = rows.groupBy("scan_id").agg(F.count("*").alias("_rows"))
+    out = out.join(made, "scan_id", "left")
+    return out.withColumns({"complete": F.col("_whole") & ~F.col("incomplete"), "api_to_rows": F.round(F.col("accepted") / F.col("_rows"), 3)}).drop("_whole", "_rows")

@@ -20,6 +20,29 @@ def merged_claims(claims: DataFrame) -> DataFrame:
     return claims.withColumn("new_index", new).withColumn("claim_path", F.format_string("/%s/%d/value", F.col("field"), new))
 
 
+_PLACE = r"^(.*?)/([0-9]+)(/.*)?$"
+
+
+def merged_results(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims and evidence (university, seed_order, claim_path, ..) of several seeds under one result: places in a list
+    run on from seed to seed, and evidence follows its claim. Of later seeds only evidence that a claim has is kept, and
+    a place that isn't in a list stays as it is."""
+    place = lambda n: F.regexp_extract("claim_path", _PLACE, n)
+    lists = claims.where(place(2) != "").groupBy("university", "seed_order", place(1).alias("_list")).agg((F.max(place(2).cast("int")) + 1).alias("_n"))
+    before = Window.partitionBy("university", "_list").orderBy("seed_order").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lists.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+
+    def moved(rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("_list", place(1)).join(offsets, ["university", "seed_order", "_list"], "left")
+        path = F.concat(F.col("_list"), F.lit("/"), (place(2).cast("int") + F.col("_offset")).cast("string"), place(3))
+        return at.withColumn("claim_path", F.when(F.col("_offset").isNotNull(), path).otherwise(F.col("claim_path"))).drop("_list", "_offset")
+
+    first = claims.groupBy("university").agg(F.min("seed_order").alias("_first"))
+    own = claims.select("university", "seed_order", "claim_path", F.lit(True).alias("_own")).distinct()
+    kept = evidence.join(first, "university").join(own, ["university", "seed_order", "claim_path"], "left").where((F.col("seed_order") == F.col("_first")) | F.col("_own")).drop("_first", "_own")
+    return moved(claims), moved(kept)
+
+
 def limit(configured: Column, given: Column, cap: Column) -> Column:
     """A configured limit, else the lesser of the given one and the cap."""
     return F.coalesce(configured, F.least(given, cap))

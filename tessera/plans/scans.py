@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators import diagnostics as D
+from tessera.operators import incremental as I
 from tessera.operators import report as P
 from tessera.operators import scan as S
 from tessera.plans.base import query, table, values
@@ -240,3 +242,30 @@ def catalog_summary(spark, sf_dir):
     candidates = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS scan_id", "explode(array('a', 'b', 'c', 'd', 'e', 'e')) AS url")
     unknown = F.coalesce(F.try_element_at("by_category", F.lit("unknown")), F.lit(0)).alias("unknown")
     return D.catalog_summary(rows, candidates).select("scan_id", "rows", "raw_rows", "to_review", "warnings", unknown, "duplicates", "rows_to_candidates", "low_row_yield")
+
+
+@query(
+    "WITH n AS (SELECT c_nationkey AS university, c_custkey % 3 AS seed_order, count(*) AS n FROM customer GROUP BY ALL), o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY university ORDER BY seed_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift, min(seed_order) OVER (PARTITION BY university) AS first FROM n), "
+    "c AS (SELECT c_custkey, c_nationkey AS university, c_custkey % 3 AS seed_order, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 3 ORDER BY c_custkey) - 1 AS i FROM customer) "
+    "SELECT c_custkey, 'claim' AS kind, '/programmes/' || CAST(i + shift AS BIGINT) || '/name' AS claim_path FROM c JOIN o USING (university, seed_order) UNION ALL SELECT c_custkey, 'evidence', '/programmes/' || CAST(i + shift AS BIGINT) || '/name' FROM c JOIN o USING (university, seed_order) UNION ALL SELECT c_custkey, 'evidence', '/programmes/' || CAST(i + shift AS BIGINT) || '/lost' FROM c JOIN o USING (university, seed_order) WHERE seed_order = first"
+)
+def merge_seeds(spark, sf_dir):
+    nth = Window.partitionBy("c_nationkey", F.col("c_custkey") % 3).orderBy("c_custkey")
+    d = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("university"), (F.col("c_custkey") % 3).alias("seed_order"), (F.row_number().over(nth) - 1).alias("i"))
+    claims = d.selectExpr("c_custkey", "university", "seed_order", "'/programmes/' || i || '/name' AS claim_path")
+    evidence = claims.unionByName(d.selectExpr("c_custkey", "university", "seed_order", "'/programmes/' || i || '/lost' AS claim_path"))
+    made, proof = I.merged_results(claims, evidence)
+    columns = lambda df, kind: df.select("c_custkey", F.lit(kind).alias("kind"), "claim_path")
+    return columns(made, "claim").unionByName(columns(proof, "evidence"))
+
+
+@query(
+    "WITH g AS (SELECT o_custkey AS scan_id, o_orderkey % 2 AS endpoint, count(*) AS responses, max(1 + o_orderkey % 4) AS pages, CAST(sum(3) AS BIGINT) AS accepted, max(CASE WHEN o_orderkey % 2 = 0 THEN 4 + o_orderkey % 5 END) AS total, bool_or(o_orderkey % 7 = 0) AS hit, bool_or(o_orderkey % 3 = 0) AS done, bool_or(o_orderkey % 5 = 0) AS short FROM orders GROUP BY ALL), "
+    "j AS (SELECT *, hit OR CASE WHEN total IS NOT NULL THEN accepted < total ELSE short AND NOT done END AS lacks, CASE WHEN total IS NOT NULL THEN accepted >= total ELSE done END AS whole FROM g) "
+    "SELECT scan_id, CAST(sum(responses) AS BIGINT) AS responses, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(total) AS BIGINT) AS total, bool_or(lacks) AS incomplete, bool_and(whole) AND NOT bool_or(lacks) AS complete, round(sum(accepted) / 6, 3) AS api_to_rows FROM j GROUP BY scan_id"
+)
+def api_endpoint_rollup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    entries = o.selectExpr("o_custkey AS scan_id", "'https://e.edu/api/' || o_orderkey % 2 || '?Page=' || o_orderkey || '&q=1' AS url", "5L AS candidate_objects", "3L AS accepted", "2L AS rejected", "CASE WHEN o_orderkey % 2 = 0 THEN 4 + o_orderkey % 5 END AS total", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 1 + o_orderkey % 4 END AS pages", "o_orderkey % 3 = 0 AS complete", "o_orderkey % 5 = 0 AS incomplete", "o_orderkey % 7 = 0 AS budget_hit")
+    rows = o.select(F.col("o_custkey").alias("scan_id")).distinct().select("scan_id", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    return D.api_rollup(D.api_groups(entries), rows).drop("candidate_objects", "rejected")
