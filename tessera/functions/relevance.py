@@ -103,6 +103,32 @@ def rule_signals(url: Column, title: Column, text: Column) -> Column:
     )
 
 
+def _prefixed(terms: Column, prefix: str) -> Column:
+    return F.transform(terms, lambda t: F.concat(F.lit(prefix), t))
+
+
+def profile_signals(url: Column, title: Column, text: Column) -> Column:
+    """The rules' signals and those of the default profile."""
+    good, noise, catalogue = _profile_hits(url, title, text)
+    source = F.when(catalogue, F.array(F.lit("profile_programme_catalog_source"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(rule_signals(url, title, text), _prefixed(good, "profile_positive:"), _prefixed(noise, "profile_noise:"), source))
+
+
+def keyword_signals(plan: KeywordPlan, url: Column, title: Column, text: Column) -> Column:
+    """The rules' signals and those of a keyword plan."""
+    import re
+
+    tokens, path = F.regexp_extract_all(joined(url, title, text), F.lit("[a-z0-9]+"), F.lit(0)), F.lower(U.path(url))
+
+    def held(terms: tuple[str, ...], prefix: str) -> Column:
+        own = [(t, re.findall("[a-z0-9]+", t.lower())) for t in terms]
+        found = [F.when(F.size(F.array_except(F.array(*map(F.lit, words)), tokens)) == 0, F.lit(prefix + t)) for t, words in own if words]
+        return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+
+    hints = F.filter(F.array(*(F.when(path.contains(h.lower()), F.lit(f"keyword_plan_url_hint:{h}")) for h in plan.url_hints)), lambda x: x.isNotNull()) if plan.url_hints else F.array().cast("array<string>")
+    return F.array_distinct(F.concat(rule_signals(url, title, text), held(plan.positive, "keyword_plan_positive:"), held(plan.negative, "keyword_plan_negative:"), hints))
+
+
 def strategy(name: str, query: str | None = None):
     """The score builder of a strategy name or one of its aliases."""
     known = R.RELEVANCE_STRATEGY_ALIASES.get(name)

@@ -285,3 +285,23 @@ def sitemap_probes(spark, sf_dir):
 def sitemap_urls(spark, sf_dir):
     xml = "<urlset><loc> /a/?utm_x=1&amp;x=1 </loc><LOC>b#f</LOC><loc>https://h.edu/a?x=1</loc><loc>HTTP://u@o.edu:80</loc>"
     return pages(spark, sf_dir).select("page_id", F.explode(T.sitemap_urls(F.lit(xml), F.lit("https://h.edu/s/sitemap.xml"))).alias("loc"))
+
+
+#: Signals that the default profile and a keyword plan add to those of the rules, by kind of page.
+_EXPLAINED = (
+    (("https://e.edu/xyz", "Fees", "Undergraduate fees"), "keyword_plan_positive:undergraduate;keyword_plan_positive:fees", None),
+    (("https://e.edu/ug/fees", None, "international"), "keyword_plan_positive:fees;keyword_plan_negative:international;keyword_plan_url_hint:/ug;keyword_plan_url_hint:/fees", None),
+    (("https://e.edu/programmes/summer", None, None), "", False),
+    (("https://e.edu/programmes", None, None), "", True),
+)
+
+
+@query("SELECT page_id, " + case("page_id", *(text(k) for _, k, _ in _EXPLAINED)) + " AS keywords, " + case("page_id", *("NULL" if c is None else str(c).lower() for *_, c in _EXPLAINED)) + " AS catalogue FROM pages")
+def signals_of_strategies(spark, sf_dir):
+    pick = lambda n: case("page_id", *("CAST(NULL AS STRING)" if p[n] is None else text(p[n]) for p, *_ in _EXPLAINED))
+    d = pages(spark, sf_dir).selectExpr("page_id", f"{pick(0)} AS url", f"{pick(1)} AS title", f"{pick(2)} AS body")
+    u, t, b = F.col("url"), F.col("title"), F.col("body")
+    plan = V.KeywordPlan(("undergraduate", "fees"), ("international",), ("/undergraduate", "/ug", "/fees"))
+    added = F.filter(V.keyword_signals(plan, u, t, b), lambda s: s.startswith("keyword_plan"))
+    catalogue = F.array_contains(V.profile_signals(u, t, b), "profile_programme_catalog_source")
+    return d.select("page_id", F.array_join(added, ";").alias("keywords"), F.when(F.col("page_id") % 4 >= 2, catalogue).alias("catalogue"))
