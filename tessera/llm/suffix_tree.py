@@ -13,7 +13,7 @@ Slices of texts are encoded once and written to the shared folder. Counts of eac
 the token travels once, with the words before it, to the task of that word. Words with more than ``hot`` training
 occurrences (by default a task's share) don't meet in one task: what follows them is counted by (context, next word) from
 each slice's distinct pairs, and their tokens travel by the shortest suffix that isn't hot. That decides where a context
-is counted, never whether.
+is counted, never whether. Buckets are dealt out in two turns, so that half of the tokens are in shuffle files at a time.
 
 Defined cases: null, empty and white-space texts are the end token alone; null ids belong to the training texts;
 repeated rows count each; with no training text the base has N = V = 0; other columns are ignored.
@@ -88,6 +88,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes: list[np.ndarray] = []
 
     def row() -> pa.RecordBatch:
+        if made >= 1 << 16:  # numbers of a partition's slices have 16 bits, those of its texts _BITS
+            raise ValueError("a partition has too many slices: repartition the documents")
         out, n = np.concatenate(held), np.concatenate(sizes)
         keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
         count = np.bincount(place, np.repeat(~out, n), minlength=len(keys))
