@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def changed(current: DataFrame, previous: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys of both whose value differs (null-safe); new and removed keys are left out, as are null previous values."""
-    old = previous.select(F.col(key), F.col(value).alias("_old")).where(F.col("_old").isNotNull())
-    return current.join(old, key).where(~F.col(value).eqNullSafe(F.col("_old"))).select(key)
+def changed(current: DataFrame, previous: DataFrame, key: str | list[str], value: str) -> DataFrame:
+    """Keys (of one column or several, one row a key) of both whose value differs (null-safe); new and removed keys are
+    left out, as are null previous values."""
+    key = [key] if isinstance(key, str) else key
+    old = previous.select(*key, F.col(value).alias("_old")).where(F.col("_old").isNotNull())
+    return current.join(old, key).where(~F.col(value).eqNullSafe(F.col("_old"))).select(*key)
 
 
 def merged_claims(claims: DataFrame) -> DataFrame:
