@@ -133,20 +133,30 @@ def evidence_rows(claims: DataFrame, sources: DataFrame) -> DataFrame:
 ROOTS = ("/institution", "/institution/name", "/admissions", "/programmes", "/fees", "/scholarships", "/visa", "/housing", "/contacts", "/programme_catalog", "/sources", "/evidence", "/warnings", "/run")
 
 
+def _prefixes(path: Column) -> Column:
+    """A path and what holds it; null for a path without parts."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    of = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(p, 1, n), "/")))
+    return bound(parts, lambda p: F.when(F.size(p) > 0, of(p)))
+
+
 def resolvable_paths(claims: DataFrame) -> DataFrame:
     """(scan_id, claim_path): every place that exists in a result: its claims' paths and what holds them."""
-    parts = F.filter(F.split("claim_path", "/"), lambda p: p != "")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
-    held = claims.where("claim_path <> ''").select("scan_id", F.explode(F.when(F.size(parts) > 0, prefixes)).alias("claim_path"))
+    held = claims.where("claim_path <> ''").select("scan_id", F.explode(_prefixes(F.col("claim_path"))).alias("claim_path"))
     roots = claims.select("scan_id").distinct().select("scan_id", F.explode(F.array(*map(F.lit, ROOTS))).alias("claim_path"))
     return held.union(roots).distinct()
 
 
 def unresolved(evidence: DataFrame, claims: DataFrame) -> DataFrame:
-    """Evidence whose path leads nowhere; slashes at its ends and doubled ones don't count."""
+    """Evidence whose path leads nowhere; slashes at its ends and doubled ones don't count.
+
+    Places that every result has are looked up as one, the empty path. Places are as many as claims and more, whatever
+    size the planner takes them for: they are sorted and merged, never sent to the driver."""
     path = F.concat(F.lit("/"), F.array_join(F.filter(F.split("claim_path", "/"), lambda p: p != ""), "/"))
-    known = resolvable_paths(claims).select(F.col("scan_id").alias("_scan"), F.col("claim_path").alias("_path"))
-    return evidence.join(known, (F.col("scan_id") == F.col("_scan")) & (path == F.col("_path")), "left_anti")
+    places = F.concat(F.array(F.lit("")), F.filter(F.coalesce(_prefixes(F.col("claim_path")), F.array().cast("array<string>")), lambda p: ~p.isin(*ROOTS)))
+    known = claims.select(F.col("scan_id").alias("_scan"), F.explode(places).alias("_path")).distinct()
+    place = bound(path, lambda p: F.when(p.isin(*ROOTS), "").otherwise(p))
+    return evidence.join(known.hint("merge"), (F.col("scan_id") == F.col("_scan")) & (place == F.col("_path")), "left_anti")
 
 
 def flattened(results: DataFrame, key: list[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
-from conftest import same_rows
+from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
+from tessera.operators import evidence as E
 from tessera.operators import incremental as I
 from tessera.plans import registry
 
@@ -32,3 +33,24 @@ def test_changed_by_two_columns(spark):
     now = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, "u", "c")], "id int, url string, h string")
     old = now.where("id < 3").withColumn("h", F.when(F.col("id") == 1, "x").otherwise(F.col("h")))
     assert I.changed(now, old, ["id", "url"], "h").collect() == [(1, "u")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unresolved(spark):
+    """All kinds of places against the list of what exists, and by sorted joins alone."""
+    claims = spark.createDataFrame([(1, "/fees/0/value"), (2, ""), (3, None), (None, "/fees/0/value"), (4, "programmes//1/name/")], "scan_id int, claim_path string")
+    paths = ["", "/", "//", "/fees", "fees/0", "/fees/0/value/", "/fees/0/other", "/admissions", "/programmes/1", "/programmes/1/name", "/run", "/odd", None]
+    evidence = spark.createDataFrame([(s, p) for s in (1, 2, 3, 4, 5, None) for p in paths], "scan_id int, claim_path string")
+    known = {(r[0], r[1]) for r in E.resolvable_paths(claims).collect()}
+    clean = lambda p: None if p is None else "/" + "/".join(x for x in p.split("/") if x)
+    want = [(s, p) for s, p in evidence.collect() if s is None or p is None or (s, clean(p)) not in known]
+    found = E.unresolved(evidence, claims)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert "Broadcast" not in plan(found)
+
+
+def test_claim_paths_sent_to_nobody(spark):
+    assert "Broadcast" not in plan(QUERIES["claim_paths_resolve"](spark, DATA))
