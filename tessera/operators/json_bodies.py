@@ -360,9 +360,12 @@ def pages_followed(first: DataFrame, captured: DataFrame, most: int = 5) -> Data
     Returns endpoint, mode, page_count, fetched, rejected array<struct<url, reason>>, completed, budget_hit, stop_reason.
 
     Each captured page's next address is worked out once; then at most ``most`` - 1 joins follow them. A page with a
-    known address or body, an unsafe address, or one that isn't captured or isn't JSON ends its endpoint."""
+    known address or body, an unsafe address, or one that isn't captured or isn't JSON ends its endpoint.
+
+    Captured pages are as many as endpoints and more, whatever size the planner takes them for: they are sorted and
+    merged, never sent to the driver. Endpoints that have ended go by keys of their own, not all to the null key's task."""
     known = captured.withColumn("_facts", facts(F.col("body"))).withColumn("_plan", next_page(F.col("_facts"), F.col("url"))).select("url", "ok", "is_json", "content_hash", F.col("_plan").alias("plan"))
-    now = first.select("endpoint", F.col("url").alias("start")).join(known.withColumnRenamed("url", "start"), "start", "left")
+    now = first.select("endpoint", F.col("url").alias("start")).join(known.withColumnRenamed("url", "start").hint("merge"), "start", "left")
     texts = F.array().cast("array<string>")
     state = now.select(
         "endpoint",
@@ -381,7 +384,8 @@ def pages_followed(first: DataFrame, captured: DataFrame, most: int = 5) -> Data
         following = known.select(F.col("url").alias("n_url"), F.col("ok").alias("n_ok"), F.col("is_json").alias("n_json"), F.col("content_hash").alias("n_hash"), F.col("plan").alias("n_plan"))
         open_ = F.col("stop_reason").isNull()
         to = F.when(open_ & ~F.col("plan.complete"), F.col("plan.url"))
-        s = state.withColumn("to", to).join(following, F.col("to") == F.col("n_url"), "left")
+        own = F.concat(F.lit(" "), F.col("endpoint").cast("string"))  # what it might meet doesn't count, since there is no next address
+        s = state.withColumn("to", to).withColumn("at", F.coalesce("to", own)).join(following.hint("merge"), F.col("at") == F.col("n_url"), "left")
         refused = F.coalesce(
             unsafe_url_reason(F.col("start"), F.col("to")),
             F.when(F.array_contains("urls", F.col("to")), "duplicate_page_url"),

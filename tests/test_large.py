@@ -54,3 +54,7 @@ def test_unresolved(spark):
 
 def test_claim_paths_sent_to_nobody(spark):
     assert "Broadcast" not in plan(QUERIES["claim_paths_resolve"](spark, DATA))
+
+
+def test_pages_followed_sent_to_nobody(spark):
+    assert "Broadcast" not in plan(QUERIES["pagination_walk"](spark, DATA))
