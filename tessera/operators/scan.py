@@ -62,8 +62,18 @@ def judged_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def _events(rows: DataFrame) -> DataFrame:
-    """A row for each extractor that a page calls: by its category (stage 0), then as a supplement (stage 1)."""
+#: Fields by their bit in ``gives`` and ``filled``.
+_BITS = {f: 1 << i for i, f in enumerate((*PLACES, "programme_prerequisites"))}
+
+
+def _bit(field: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in _BITS.items() for x in pair))[field]
+
+
+def page_events(rows: DataFrame) -> DataFrame:
+    """Judged pages, of those that give claims, without their texts and with ``events``, one for each extractor that a
+    page calls, by its category (stage 0), then as a supplement (stage 1); and ``gives``, the bits of the fields that
+    have a value here. All of it depends on a page's content alone: what several scans share may be read once."""
     u, t, b = F.col("url"), F.col("title"), F.col("text")
     period = X.deadline(b)
     fee, contact = X.fee(u, t, b), X.contact(u, t, b)
@@ -105,20 +115,34 @@ def _events(rows: DataFrame) -> DataFrame:
         routed = F.when(F.col("category").isin(*categories), F.array(*events)).otherwise(routed)
     added = F.when((F.col("category") != "irrelevant") & F.col("ug"), F.array(*extra)).otherwise(nothing)
     usable = (F.col("strategy") != "blocked_or_challenge") & (F.col("source_type") != "json")
-    return found.where(usable).select("scan_id", "page_order", "url", F.posexplode(F.concat(routed, added)).alias("k", "e")).select("scan_id", "page_order", "url", "k", "e.*")
+    made = found.where(usable).withColumn("events", F.concat(routed, added)).drop(*(c for c in found.columns if c.startswith("_")), "text")
+    bits = F.aggregate("events", F.lit(0), lambda a, e: a.bitwiseOR(F.when(e["gate"] & (F.size(e["found"]) > 0), _bit(e["field"])).otherwise(0)))
+    return made.withColumn("gives", bits)
+
+
+def filled_before(rows: DataFrame) -> DataFrame:
+    """Pages (scan_id, page_order, gives) with ``filled``: the bits of the fields that earlier pages of the scan gave."""
+    before = Window.partitionBy("scan_id").orderBy("page_order").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("filled", F.coalesce(F.bit_or("gives").over(before), F.lit(0)))
 
 
 def attempts(pages: DataFrame) -> DataFrame:
     """The log of extractions (write it once if several tables are made of it): scan_id, page_order, url, k (place in the page), field, extractor, status (extracted,
     no_match, skipped), reason, record_count, and what was found."""
-    events = _events(judged_pages(pages)).withColumn("has", F.col("gate") & (F.size("found") > 0))
-    before = Window.partitionBy("scan_id", "field").orderBy("page_order", "k").rowsBetween(Window.unboundedPreceding, -1)
-    filled = F.coalesce(F.max("has").over(before), F.lit(False))
+    return logged(filled_before(page_events(judged_pages(pages))))
+
+
+def logged(rows: DataFrame) -> DataFrame:
+    """The log of pages with events, of which ``filled`` fields have a value from earlier pages (see ``attempts``)."""
+    has = lambda e: e["gate"] & (F.size(e["found"]) > 0)
+    earlier = lambda e, i: F.exists(F.slice("events", 1, i), lambda x: (x["field"] == e["field"]) & has(x))
+    each = F.transform("events", lambda e, i: F.struct(e.alias("e"), has(e).alias("has"), ((F.col("filled").bitwiseAND(_bit(e["field"])) != 0) | earlier(e, i)).alias("filled")))
+    events = rows.select("scan_id", "page_order", "url", F.posexplode(each).alias("k", "x")).select("scan_id", "page_order", "url", "k", "x.e.*", "x.has", "x.filled")
     single = (F.col("stage") == 1) | (F.col("field") == "undergraduate_application_entry")
     entry = (F.col("field") == "undergraduate_application_entry") & ~F.col("has")
     status = F.when(entry, "skipped").when(single & F.col("filled"), "skipped").when(~F.col("gate"), "skipped").when(F.col("has"), "extracted").otherwise("no_match")
     reason = F.when(entry, "requires_application_period").when(single & F.col("filled"), "existing_value").when(~F.col("gate"), "context_gate_failed").otherwise(F.col("reason"))
-    out = events.withColumn("filled", filled).withColumns({"status": status, "reason": reason})
+    out = events.withColumns({"status": status, "reason": reason})
     return out.select("scan_id", "page_order", "url", "k", "field", "extractor", "status", "reason", F.when(F.col("status") == "extracted", F.size("found")).otherwise(0).alias("record_count"), "found")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evidence as E
 from tessera.operators import incremental as I
-from tessera.plans import registry
+from tessera.operators import scan as S
+from tessera.plans import registry, scans
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -58,3 +59,19 @@ def test_claim_paths_sent_to_nobody(spark):
 
 def test_pages_followed_sent_to_nobody(spark):
     assert "Broadcast" not in plan(QUERIES["pagination_walk"](spark, DATA))
+
+
+def test_scans_log(spark):
+    """The log with events worked out once for pages that scans share is that of each page by itself."""
+    columns = ["scan_id", "page_order", "url", "k", "field", "extractor", "status", "reason", "record_count", "found"]
+    want = S.attempts(scans.sites(spark, DATA).where("scan_id < 4")).select(columns).collect()
+    assert len(want) > 100
+    assert sorted(scans.log(spark, DATA).where("scan_id < 4").select(columns).collect(), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["scan_attempts"])
+def test_scans_go_once(spark, name):
+    """Scans are dealt out once, and the extractor in Python runs before pages meet scans, below a broadcast."""
+    lines = plan(QUERIES[name](spark, DATA)).split("== Initial Plan ==")[-1]
+    assert lines.count("Exchange hashpartitioning") == 1
+    assert lines.index("BroadcastExchange") < lines.index("ArrowEvalPython")
