@@ -150,7 +150,7 @@ def absolute(link: Column, base: Column) -> Column:
 def sitemap_locations(xml: Column) -> Column:
     """Distinct ``loc`` values in their order; malformed XML gives what can be read."""
     found = F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
-    return F.array_distinct(F.transform(found, unescaped))
+    return F.array_distinct(F.transform(found, lambda x: unescaped(x)))
 
 
 def sitemap_urls(xml: Column, base: Column) -> Column:
